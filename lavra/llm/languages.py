@@ -37,7 +37,7 @@ class Settings:
     reject: float = 0.6
     margin: float = 0.06
     letters: int = 12
-    batch_characters: int = 1_000_000
+    batch_characters: int = 250_000
 
 
 _EDGE = re.compile(r"[^\w]+|\d+|_+")
@@ -63,36 +63,39 @@ class Centroids:
         self.row = np.full(size, len(known), dtype=np.int64)
         self.row[known] = np.arange(len(known))
         labels = np.array([self.languages.index(lang) for lang, _ in samples])
+        weight = (1 + np.log(count.astype(np.float32))) * self.idf[bucket]
+        weight /= np.sqrt(np.maximum(np.bincount(owner, weights=weight * weight, minlength=len(texts)), 1e-9))[owner].astype(np.float32)
         centres, self.owner, near = [], [], []
         for k in range(len(self.languages)):
-            # The matrix of one language at a time; its rows are bounded by the sample.
-            mine = np.flatnonzero(labels == k)
-            place = np.full(len(texts), -1)
-            place[mine] = np.arange(len(mine))
-            own = np.zeros((len(mine), len(known)), dtype=np.float32)
-            here = place[owner] >= 0
-            own[place[owner[here]], self.row[bucket[here]]] = (1 + np.log(count[here])) * self.idf[bucket[here]]
-            own /= np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-9)
-            found = self._cluster(own)
-            near.append(float(np.percentile((own @ found.T).max(axis=1), 1)))
+            mine = labels[owner] == k
+            found, cosine = self._cluster(owner[mine], self.row[bucket[mine]], weight[mine], len(known))
+            near.append(float(np.percentile(cosine, 1)))
             centres += list(found)
             self.owner += [k] * len(found)
         self.matrix = np.vstack([np.stack(centres, axis=1), np.zeros((1, len(centres)), dtype=np.float32)]).astype(np.float32)
         self.owner = np.array(self.owner)
         self.least = min(near) * settings.reject
 
-    def _cluster(self, own: np.ndarray) -> np.ndarray:
-        count = min(self.settings.centroids, len(own))
-        # Farthest-first seeds, then spherical k-means.
-        chosen = [0]
-        while len(chosen) < count:
-            chosen.append(int((own @ own[chosen].T).max(axis=1).argmin()))
-        centres = own[chosen]
+    def _cluster(self, owner: np.ndarray, row: np.ndarray, weight: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Spherical k-means of the sparse unit vectors (owner, row, weight): centres, and each vector's cosine with its own."""
+        starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+        number = np.cumsum(np.r_[True, owner[1:] != owner[:-1]]) - 1
+
+        def cosines(centres: np.ndarray) -> np.ndarray:
+            return np.stack([np.add.reduceat(c[row] * weight, starts) for c in centres], axis=1)
+
+        def total(part: np.ndarray) -> np.ndarray:
+            c = np.bincount(row[part], weights=weight[part], minlength=size).astype(np.float32)
+            return c / max(float(np.linalg.norm(c)), 1e-9)
+
+        # Farthest-first seeds.
+        centres = total(number == 0)[None]
+        while len(centres) < min(self.settings.centroids, len(starts)):
+            centres = np.vstack([centres, total(number == cosines(centres).max(axis=1).argmin())])
         for _ in range(self.settings.rounds):
-            nearest = (own @ centres.T).argmax(axis=1)
-            fresh = np.stack([own[nearest == j].sum(axis=0) if (nearest == j).any() else centres[j] for j in range(count)])
-            centres = fresh / np.maximum(np.linalg.norm(fresh, axis=1, keepdims=True), 1e-9)
-        return centres
+            nearest = cosines(centres).argmax(axis=1)[number]
+            centres = np.stack([total(nearest == j) if (nearest == j).any() else centres[j] for j in range(len(centres))])
+        return centres, cosines(centres).max(axis=1)
 
     def _counts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         points, owner = codes(texts)
@@ -105,8 +108,17 @@ class Centroids:
 
     def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(nearest language or -1 where rejected, lead over the next language, cosine with every language)."""
-        if not texts:
-            return np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros((0, len(self.languages)))
+        parts, begin = [(np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros((0, len(self.languages))))], 0
+        ends = np.cumsum([len(t) for t in texts])
+        while begin < len(texts):
+            # Blocks of bounded size; a longer text is a block of its own.
+            limit = (ends[begin - 1] if begin else 0) + self.settings.batch_characters
+            stop = max(begin + 1, int(np.searchsorted(ends, limit, side="right")))
+            parts.append(self._score(texts[begin:stop]))
+            begin = stop
+        return tuple(np.concatenate(x) for x in zip(*parts))
+
+    def _score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         plain = [letters_only(t) for t in texts]
         owner, bucket, count = self._counts(plain)
         weight = (1 + np.log(count.astype(np.float32))) * self.idf[bucket]
@@ -221,28 +233,19 @@ def identify(documents: DataFrame, centroids: Centroids, *, id: str = "doc_id",
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = carried.value
         for batch in batches:
-            out = []
-            begin = 0
-            texts = batch["text"].tolist()
-            while begin < len(texts):
-                # Blocks of bounded size; a longer text is a block of its own.
-                stop, size, pieces, owners = begin, 0, [], []
-                while stop < len(texts) and (stop == begin or size + len(texts[stop]) <= model.settings.batch_characters):
-                    own = sentences(texts[stop])
-                    pieces += own
-                    owners.append(len(own))
-                    size += len(texts[stop])
-                    stop += 1
-                lang, lead, best = model.score(pieces)
-                at = 0
-                for k, count in enumerate(owners):
-                    row = batch.iloc[begin + k]
-                    own = slice(at, at + count)
-                    found = segments(lang[own], lead[own], best[own], model.settings.margin)
-                    at += count
-                    named = [(model.languages[x], c) for x, c in found] or [("und", 1.0)]
-                    out += [(row["doc"], row["rotulo"], n, name, round(float(c), 4), len(named)) for n, (name, c) in enumerate(named)]
-                begin = stop
+            out, pieces, counts = [], [], []
+            for value in batch["text"]:
+                own = sentences(value)
+                pieces += own
+                counts.append(len(own))
+            lang, lead, best = model.score(pieces)
+            at = 0
+            for doc, code, count in zip(batch["doc"], batch["rotulo"], counts):
+                own = slice(at, at + count)
+                at += count
+                found = segments(lang[own], lead[own], best[own], model.settings.margin)
+                named = [(model.languages[x], c) for x, c in found] or [("und", 1.0)]
+                out += [(doc, code, n, name, round(float(c), 4), len(named)) for n, (name, c) in enumerate(named)]
             yield pd.DataFrame(out, columns=_OUT.names)
 
     return rows.mapInPandas(run, _OUT)
