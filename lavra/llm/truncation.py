@@ -19,12 +19,14 @@ from pyspark.sql import DataFrame
 class Settings:
     """Shares of its occurrences at which a trigram stands at ends: up to ``never`` it ends nothing, from ``often`` on it ends texts.
 
+    ``lean`` is the weight, in occurrences, of the last word's share in that of its trigram.
     ``short`` words or fewer are a whole answer. ``band`` is the width in
     characters of the length bands in which a source's endings are compared.
     """
 
     never: float = 0.05
     often: float = 0.6
+    lean: float = 5.0
     short: int = 4
     band: int = 40
 
@@ -35,12 +37,16 @@ _CITATIONS = r"(\\s*\\[\\d+\\])+\\s*$"
 _DOTS = r"\\s*(\\.{2,}|…)\\s*$"
 _STOP = r"[.!?][\"”»)\\x27]*$"
 _ITEM = r"^\\s*([-*•]|\\d+[.)])\\s"
+_OPEN = r"[,(–—]$"
 _FIGURE = r"[\\p{N})\\]};]$|:$"
 _WORD = r"[\\p{L}\\p{N}_\\x27-]+"
 
 
-def parts(texts: str) -> str:
-    """CTEs over ``texts`` (tabela, registro, fonte, texto, pergunta): fins (end of every text) and trigramas (counts)."""
+def parts(texts: str, short: int) -> str:
+    """CTEs over ``texts`` (tabela, registro, fonte, texto, pergunta): trigramas (counts) and classes (the end of every text and its kind).
+
+    Ends are those that a stop marks, and those of whole short answers; an open end may be a cut and counts as none.
+    """
     return f"""
 textos AS (
   SELECT tabela, registro, min(fonte) AS fonte, min(texto) AS texto, min(pergunta) AS pergunta FROM {texts}
@@ -52,7 +58,7 @@ fins AS (
     corpo RLIKE '{_DOTS}' AS reticencias, regexp_replace(corpo, '{_DOTS}', '') AS fim,
     element_at(split(regexp_replace(corpo, '{_DOTS}', ''), '\\\\n'), -1) AS linha FROM corpos),
 frases AS (
-  SELECT id_texto, regexp_extract_all(lower(frase), '{_WORD}', 0) AS p, (frase RLIKE '{_STOP}' AND NOT frase RLIKE '{_DOTS}') OR posicao = quantas - 1 AS termina
+  SELECT id_texto, regexp_extract_all(lower(frase), '{_WORD}', 0) AS p, (frase RLIKE '{_STOP}' AND NOT frase RLIKE '{_DOTS}') OR (quantas = 1 AND size(regexp_extract_all(frase, '{_WORD}', 0)) <= {short}) AS termina
   FROM (
     SELECT id_texto, size(lista) AS quantas, lista FROM (
       SELECT xxhash64(fim) AS id_texto, split(regexp_replace(fim, '\\\\s*\\\\[\\\\d+\\\\]', ''), '(?<=[.!?])\\\\s+|\\\\n+') AS lista FROM (SELECT DISTINCT fim FROM fins)))
@@ -60,13 +66,7 @@ frases AS (
 trigramas AS (
   SELECT t.a, t.b, t.c, count(*) AS dentro, count_if(t.fim AND termina) AS ao_fim
   FROM frases LATERAL VIEW explode(CASE WHEN size(p) >= 3 THEN transform(sequence(1, size(p) - 2), i -> named_struct('a', p[i - 1], 'b', p[i], 'c', p[i + 1], 'fim', i = size(p) - 2)) END) AS t
-  GROUP BY t.a, t.b, t.c)"""
-
-
-def verdict_sql(texts: str, settings: Settings = Settings()) -> str:
-    """SQL of every text's end: kind, share at which its last trigram stands at ends, and whether it is cut."""
-    return f"""
-WITH {parts(texts)},
+  GROUP BY t.a, t.b, t.c),
 tipos AS (
   SELECT *, regexp_extract_all(lower(linha), '{_WORD}', 0) AS p, size(regexp_extract_all(fim, '{_WORD}', 0)) AS palavras,
     regexp_replace(lower(fim), '[^\\\\p{{L}}\\\\p{{N}}]+', '') AS liso, regexp_replace(lower(coalesce(pergunta, '')), '[^\\\\p{{L}}\\\\p{{N}}]+', '') AS pergunta_lisa FROM fins),
@@ -74,19 +74,32 @@ classes AS (
   SELECT *, CASE
     WHEN palavras = 0 THEN 'vazio'
     WHEN reticencias THEN 'reticencias'
+    WHEN fim RLIKE '{_OPEN}' THEN 'virgula'
     WHEN fim RLIKE '{_STOP}' THEN 'ponto'
     WHEN linha RLIKE '{_ITEM}' THEN 'item'
     WHEN linha RLIKE '{_FIGURE}' THEN 'figura'
-    WHEN palavras <= {settings.short} THEN 'curto'
+    WHEN palavras <= {short} THEN 'curto'
     WHEN liso = pergunta_lisa THEN 'pergunta'
-    ELSE 'aberto' END AS classe FROM tipos),
+    ELSE 'aberto' END AS classe FROM tipos)"""
+
+
+def verdict_sql(texts: str, settings: Settings = Settings()) -> str:
+    """SQL of every text's end: kind, share at which its last trigram stands at ends, and whether it is cut.
+
+    The share of a rare trigram leans on that of its last word: the front of a
+    word never ends anything, a noun now and then does.
+    """
+    return f"""
+WITH {parts(texts, settings.short)},
+finais AS (SELECT c, sum(dentro) AS dentro, sum(ao_fim) AS ao_fim FROM trigramas GROUP BY c),
 medidos AS (
   SELECT c.tabela, c.registro, c.fonte, c.classe, c.tamanho, CAST(c.tamanho / {settings.band} AS BIGINT) AS faixa,
-    coalesce(t.dentro, 0) - 1 AS dentro, CASE WHEN coalesce(t.dentro, 0) > 1 THEN (t.ao_fim - 1) / (t.dentro - 1) ELSE 0.0 END AS parte
+    coalesce(t.dentro, 0) - 1 AS dentro, least(1.0, (coalesce(t.ao_fim, 0) + {settings.lean} * coalesce(u.ao_fim / nullif(u.dentro - 1, 0), 0)) / (greatest(coalesce(t.dentro, 0) - 1, 0) + {settings.lean})) AS parte
   FROM (SELECT *, element_at(p, -3) AS a, element_at(p, -2) AS b, element_at(p, -1) AS c FROM classes WHERE classe = 'aberto' AND size(p) >= 3) c
   LEFT JOIN trigramas t ON t.a = c.a AND t.b = c.b AND t.c = c.c
+  LEFT JOIN finais u ON u.c = c.c
   UNION ALL
-  SELECT tabela, registro, fonte, classe, tamanho, CAST(tamanho / {settings.band} AS BIGINT), 0, CASE WHEN classe IN ('reticencias', 'aberto') THEN 0.0 ELSE 1.0 END FROM classes WHERE classe <> 'aberto' OR size(p) < 3),
+  SELECT tabela, registro, fonte, classe, tamanho, CAST(tamanho / {settings.band} AS BIGINT), 0, CASE WHEN classe IN ('reticencias', 'virgula', 'aberto') THEN 0.0 ELSE 1.0 END FROM classes WHERE classe <> 'aberto' OR size(p) < 3),
 vizinhos AS (
   SELECT tabela, fonte, faixa, count_if(parte <= {settings.never} AND dentro > 0) AS cortados, count_if(parte >= {settings.often}) AS inteiros
   FROM medidos WHERE classe = 'aberto' GROUP BY tabela, fonte, faixa)
@@ -111,6 +124,46 @@ def verdicts(texts: DataFrame, settings: Settings = Settings()) -> DataFrame:
     return texts.sparkSession.sql(verdict_sql(view, settings))
 
 
+def likelihood_sql(texts: str, settings: Settings = Settings(), trust: float = 2.0, unseen: float = 0.01) -> str:
+    """SQL of the likelihood that a text ends after its last words, and whether it is cut.
+
+    The share of a trigram's occurrences that stand at ends is smoothed with that
+    of its last two words, and this with that of its last word; ``trust`` is the
+    weight of the shorter n-gram in occurrences, ``unseen`` the likelihood of an
+    end after a word that stands nowhere else. The text itself is left out of the
+    counts. Between ``never`` and ``often`` the endings of the same source and
+    length decide.
+    """
+    return f"""
+WITH {parts(texts, settings.short)},
+bigramas AS (SELECT b, c, sum(dentro) AS dentro, sum(ao_fim) AS ao_fim FROM trigramas GROUP BY b, c),
+unigramas AS (SELECT c, sum(dentro) AS dentro, sum(ao_fim) AS ao_fim FROM bigramas GROUP BY c),
+contados AS (
+  SELECT c.tabela, c.registro, c.fonte, CAST(c.tamanho / {settings.band} AS BIGINT) AS faixa,
+    greatest(coalesce(t.dentro, 0) - 1, 0) AS n3, coalesce(t.ao_fim, 0) AS f3, greatest(coalesce(d.dentro, 0) - 1, 0) AS n2, coalesce(d.ao_fim, 0) AS f2,
+    greatest(coalesce(u.dentro, 0) - 1, 0) AS n1, coalesce(u.ao_fim, 0) AS f1
+  FROM (SELECT *, try_element_at(p, -3) AS a, try_element_at(p, -2) AS b, try_element_at(p, -1) AS c FROM classes WHERE classe = 'aberto') c
+  LEFT JOIN trigramas t ON t.a = c.a AND t.b = c.b AND t.c = c.c
+  LEFT JOIN bigramas d ON d.b = c.b AND d.c = c.c
+  LEFT JOIN unigramas u ON u.c = c.c),
+medidos AS (
+  SELECT *, (f3 + {trust} * (f2 + {trust} * (f1 + {trust} * {unseen}) / (n1 + {trust})) / (n2 + {trust})) / (n3 + {trust}) AS chance FROM contados),
+vizinhos AS (
+  SELECT tabela, fonte, faixa, count_if(chance <= {settings.never} AND n2 > 0) AS cortados, count_if(chance >= {settings.often}) AS inteiros
+  FROM medidos GROUP BY tabela, fonte, faixa)
+SELECT m.tabela, m.registro, round(m.chance, 6) AS chance, m.chance <= {settings.never} OR (m.chance < {settings.often} AND v.cortados > v.inteiros) AS cortado
+FROM medidos m JOIN vizinhos v ON v.tabela = m.tabela AND v.fonte <=> m.fonte AND v.faixa = m.faixa
+UNION ALL
+SELECT tabela, registro, 0.0, true FROM classes WHERE classe IN ('reticencias', 'virgula')"""
+
+
+def end_likelihoods(texts: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """Likelihood of the end of every text without a mark of its end; inputs and nulls as in :func:`verdicts`."""
+    view = "lavra_textos_fim"
+    texts.createOrReplaceTempView(view)
+    return texts.sparkSession.sql(likelihood_sql(view, settings))
+
+
 def rates(verdicts_: DataFrame) -> DataFrame:
     """Texts, cut texts and their share, by table and source."""
     from pyspark.sql import functions as F
