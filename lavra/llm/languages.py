@@ -9,6 +9,7 @@ to the segment around it.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -45,7 +46,7 @@ _EDGE = re.compile(r"[^\w]+|\d+|_+")
 
 def letters_only(text: str) -> str:
     """Lower-case words between single spaces, with one at either end."""
-    return " " + " ".join(_EDGE.sub(" ", text.lower()).split()) + " "
+    return " " + " ".join(_EDGE.sub(" ", unicodedata.normalize("NFC", text).lower()).split()) + " "
 
 
 class Centroids:

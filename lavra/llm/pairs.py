@@ -90,8 +90,8 @@ def train(samples: DataFrame, *, language: str = "idioma", text: str = "texto",
 
 
 def unaccented(text: Column) -> Column:
-    """Lower case with plain letters for the accented ones of the six languages."""
-    return F.translate(F.lower(text), "áàâãäåéèêëíìîïóòôõöúùûüçñ’", "aaaaaaeeeeiiiiooooouuuucn'")
+    """Lower case with plain letters for the accented ones of the six languages, composed or not."""
+    return F.translate(F.regexp_replace(F.lower(text), r"\p{M}+", ""), "áàâãäåéèêëíìîïóòôõöúùûüçñ’", "aaaaaaeeeeiiiiooooouuuucn'")
 
 
 def is_empty(answer: Column) -> Column:
