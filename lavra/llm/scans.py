@@ -11,6 +11,7 @@ the editor proposes is taken when the corpus knows it better than what was read.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,10 +32,11 @@ class Settings:
     A line recurs when ``recurs`` different texts of its document, and a share
     of ``rate`` of them, hold it. A proposed word must be ``better`` times as
     frequent as the one read. ``known`` is the share of texts from which a word is
-    ordinary. ``beam`` candidates are kept for a word, of at most ``edits`` changed places.
+    ordinary. ``beam`` candidates of at most ``edits`` changed places are kept for a word, and ``singles`` of one.
     """
 
     lines: int = 12_000
+    cleaning: int = 2
     words: int = 12_000
     recurs: int = 3
     rate: float = 0.01
@@ -42,6 +44,7 @@ class Settings:
     better: int = 8
     known: float = 0.0005
     beam: int = 8
+    singles: int = 24
     edits: int = 3
 
 
@@ -90,7 +93,10 @@ def line_features(line: str, key: str, pos: int, total: int, before: str, after:
     found += [f"sep:{c}" for c in "|·–—()" if c in core] + ["sep: - "] * (" - " in core)
     letters = [c for c in core if c.isalpha()]
     found.append("caps" if letters and all(c.isupper() for c in letters) else "title" if core[:1].isupper() and all(w[:1].isupper() for w in core.split() if len(w) > 3 and w[:1].isalpha()) else "lower" if core[:1].islower() else "mixed")
+    shape = found[-1]
     found.append(f"n:{min(len(tokens), 8)}")
+    if tokens:
+        found += [f"head:{tokens[0]}_{shape}_{min(len(tokens), 8)}", f"tail:{tokens[-1]}_{shape}_{min(len(tokens), 8)}"]
     found.append("first" if pos == 0 else "second" if pos == 1 else "last" if pos == total - 1 else "last_but" if pos == total - 2 else "inside")
     found.append("before:" + ("none" if not before else "end" if before[-1] in ".!?:" else "open"))
     found.append("after:" + ("none" if not after else "low" if after[:1].islower() else "up"))
@@ -114,7 +120,8 @@ def _described(split: DataFrame, settings: Settings) -> DataFrame:
     # Equal texts under several ids are one text.
     times = shown.where("candidata").select("doc", "chave", "texto_id").distinct().groupBy("doc", "chave").agg(F.count("*").cast("int").alias("vezes"))
     texts = split.select("doc", "texto_id").distinct().groupBy("doc").agg(F.count("*").cast("int").alias("textos"))
-    offsets = shown.where(F.col("numero").isNotNull() & F.col("linha").rlike(_DRESSED)).groupBy("doc").agg(F.mode(F.col("numero") - F.col("pagina")).alias("desvio"))
+    off = F.col("numero") - F.col("pagina")
+    offsets = shown.where(F.abs(off) <= settings.near_page).groupBy("doc", off.alias("desvio")).agg(F.count("*").alias("n")).groupBy("doc").agg(F.max_by("desvio", F.struct("n", -F.abs("desvio"))).alias("desvio"))
     return shown.join(times, ["doc", "chave"], "left").join(texts, "doc", "left").join(offsets, "doc", "left")
 
 
@@ -127,7 +134,12 @@ def train_lines(described: DataFrame, settings: Settings = Settings()) -> Percep
     rows = described.where("candidata").withColumn("rotulo", label).where(F.col("rotulo").isNotNull()).withColumn("posto", place).where(F.col("posto") <= settings.lines // 2)
     sample = rows.select("linha", "chave", "ordem", "linhas", "antes", "depois", "vezes", "textos", "rotulo").collect()
     examples = [(line_features(r.linha, r.chave, r.ordem, r.linhas, r.antes or "", r.depois or "", r.vezes, r.textos), r.rotulo) for r in sorted(sample, key=tuple_key)]
-    # Every second example hides its recurrence, so that a header seen once is known by its shape.
+    # By shape and place alone, some of the lines seen once are headers: they teach nothing as body lines.
+    for _ in range(settings.cleaning):
+        shapes = [([f for f in fs if not f.startswith(("times:", "rate:"))], label) for fs, label in examples]
+        by_shape = Perceptron(["cabecalho", "corpo"]).train(shapes, rounds=3)
+        examples = [x for x, (fs, label) in zip(examples, shapes) if label == "cabecalho" or by_shape.predict(fs) == "corpo"]
+    # Every example also stands without its recurrence, so that a header seen once is known by its shape.
     examples += [([f for f in fs if not f.startswith(("times:", "rate:"))], label) for fs, label in examples]
     return Perceptron(["cabecalho", "corpo"]).train(examples)
 
@@ -143,7 +155,13 @@ def classified(described: DataFrame, model: Perceptron, settings: Settings = Set
     @F.pandas_udf("boolean")
     def is_header(line: pd.Series, key: pd.Series, pos: pd.Series, total: pd.Series, before: pd.Series, after: pd.Series, times: pd.Series, texts: pd.Series) -> pd.Series:
         m = carried.value
-        return pd.Series([k is not None and m.predict(line_features(a, k, int(b), int(c), d or "", e or "", int(f or 0), int(g or 1))) == "cabecalho" for a, k, b, c, d, e, f, g in zip(line, key, pos, total, before, after, times, texts)], dtype=bool)
+
+        def one(a, k, b, c, d, e, f, g) -> bool:
+            features = line_features(a, k, int(b), int(c), d or "", e or "", int(f or 0), int(g or 1))
+            # Recurrence can speak for a header, not against one that its shape and place give away.
+            return m.predict(features) == "cabecalho" or m.predict([x for x in features if not x.startswith(("times:", "rate:"))]) == "cabecalho"
+
+        return pd.Series([k is not None and one(a, k, b, c, d, e, f, g) for a, k, b, c, d, e, f, g in zip(line, key, pos, total, before, after, times, texts)], dtype=bool)
 
     off = F.col("numero") - F.col("pagina") - F.coalesce("desvio", F.lit(0))
     bare = ~F.col("linha").rlike(_DRESSED)
@@ -167,7 +185,6 @@ _OUTER = r"^[^\p{L}\p{N}@|" + JOIN + r"]+|[^\p{L}\p{N}@|~´`^¨" + JOIN + r"]+$"
 
 def words(text: DataFrame) -> DataFrame:
     """(chunk, palavra, nome) of every word of the running text; ``nome`` where it has a capital inside a sentence."""
-    tokens = text.select("chunk", F.posexplode(F.split("corpo", r"\s+")).alias("n", "bruta"))
     tokens = text.select("chunk", F.split("corpo", r"\s+").alias("t")).select("chunk", F.posexplode(F.arrays_zip(F.col("t").alias("atual"), F.concat(F.array(F.lit(".")), F.slice("t", 1, F.greatest(F.size("t") - 1, F.lit(1)))).alias("anterior"))).alias("n", "par"))
     word = F.regexp_replace(F.col("par.atual"), _OUTER, "")
     mid = ~F.coalesce(F.col("par.anterior"), F.lit(".")).rlike(r"[.!?:|]$")
@@ -210,13 +227,11 @@ def labels_of(read: str, right: str) -> list[str] | None:
 
 def train_editor(counts_: DataFrame, settings: Settings = Settings()) -> Perceptron:
     """An editor from rare words that lie one short edit beside a frequent one, and from the frequent ones themselves."""
-    ordinary = F.row_number().over(Window.orderBy(F.desc("n"), "palavra"))
     frequent = counts_.where(~F.col("palavra").contains(JOIN) & F.col("palavra").rlike(r"^[\p{L}'-]+$")).orderBy(F.desc("n"), "palavra").limit(settings.words // 2).collect()
     top = frequent[0]["n"] if frequent else 0
     good = {r.palavra: r.n for r in frequent if r.n * 2000 >= top and r.n >= 4 and (r.nome or 0) <= 0.5}
     least = min(good.values(), default=1)
     rare = counts_.where((F.col("n") * settings.better <= max(least * 4, 8)) & (F.coalesce("nome", F.lit(0.0)) <= 0.5)).orderBy(F.xxhash64("palavra")).limit(settings.words).collect()
-    del ordinary
     near: dict[tuple[str, str, int], list[str]] = {}
     for word in good:
         for i in range(len(word) + 1):
@@ -252,16 +267,31 @@ def train_editor(counts_: DataFrame, settings: Settings = Settings()) -> Percept
     return Perceptron(usual).train(examples, rounds=4)
 
 
+# Spacing accents and the combining ones they stand for.
+_ACCENTS = str.maketrans({"~": "\u0303", "´": "\u0301", "`": "\u0300", "^": "\u0302", "¨": "\u0308"})
+
+
+def composed(word: str) -> str:
+    """``word`` with accents that were read as characters of their own set on their letters."""
+    return unicodedata.normalize("NFKC", word.translate(_ACCENTS))
+
+
 def proposals(word: str, editor: Perceptron, settings: Settings) -> list[tuple[str, float]]:
     """Words that the editor would make of ``word``, best first, with their scores against leaving it."""
     states: list[tuple[float, int, str, bool]] = [(0.0, 0, "", False)]
+    single: list[tuple[float, str]] = []
     for at, c in enumerate(word):
         scores = editor.scores(char_features(word, at))
         keep = scores["="]
         must = c == JOIN
-        options = sorted(((s - keep, label) for label, s in scores.items() if label != "=" and (s - keep > -12 or must)), reverse=True)[:4]
+        options = sorted(((s - keep, label) for label, s in scores.items() if label != "=" and (s - keep > -60 or must)), reverse=True)[:8]
         if must:
             options = [(scores["-"] - keep, "-"), (scores["r:-"] - keep, "r:-")]
+        if not must and JOIN not in word:
+            # Each place alone as well, so that no better-looking double change crowds a single one out.
+            for more, label in options:
+                if label != "-":
+                    single += [(more, word[:at] + label[2:] + word[at + 1 :]), (more, word[:at] + label[2:] + word[at + 2 :])]
         fresh = []
         for gain, changed, made, open_ in states:
             if not must:
@@ -278,7 +308,9 @@ def proposals(word: str, editor: Perceptron, settings: Settings) -> list[tuple[s
     for gain, _, made, _ in states:
         if made != word and made and made not in seen:
             seen[made] = gain
-    return sorted(seen.items(), key=lambda x: -x[1])[: settings.beam]
+    best = sorted(seen.items(), key=lambda x: -x[1])[: settings.beam]
+    alone = sorted({made: gain for gain, made in sorted(single) if made not in seen and made != word}.items(), key=lambda x: -x[1])
+    return best + alone[: settings.singles]
 
 
 def corrections(counts_: DataFrame, editor: Perceptron, settings: Settings = Settings()) -> DataFrame:
@@ -304,6 +336,8 @@ def corrections(counts_: DataFrame, editor: Perceptron, settings: Settings = Set
             for word in batch["palavra"]:
                 if 2 < len(word) <= 60:
                     rows += [(word, made, float(gain), k) for k, (made, gain) in enumerate(proposals(word, m, settings))]
+                if composed(word) != word:
+                    rows.append((word, composed(word), 0.0, 90))
                 if JOIN in word:
                     rows += [(word, word.replace(JOIN, ""), -50.0, 98), (word, word.replace(JOIN, "-"), -51.0, 99)]
             yield pd.DataFrame(rows, columns=["palavra", "certa", "ganho", "posto"])
