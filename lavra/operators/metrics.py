@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def confusion(rows: DataFrame, group: Column) -> DataFrame:
@@ -48,7 +49,7 @@ def ece_brier(bins: DataFrame) -> DataFrame:
     return bins.agg(F.round(F.sum(F.col("n") * F.abs(F.col("acuracia") - F.col("confianca"))) / total, 6).alias("ece"), F.round(F.sum("quadrado") / total, 6).alias("brier"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def wer(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
     """Word edit distance over the reference's length (at least 1); null if either side is null."""
 
