@@ -21,7 +21,7 @@ PLACEHOLDERS = ("n/d", "n.d.", "nd", "n/a", "n.a.", "na", "nan", "null", "none",
 REFUSALS = (
     r"\bnao[_ ]sei\b(?! (que|se|de que)\b)",
     r"\bnao (posso|consigo|devo|poderei|irei|vou|e possivel|foi possivel|estou (autorizad[oa]|apt[oa]|em condicoes)( a| de| para)?|sou capaz de|tenho (como|condicoes de)|me e possivel) (te |lhe |o |a )?(ajudar|responder|atender|opinar|auxiliar|tratar|comentar|fornecer|dizer|informar|discutir|colaborar|cumprir)",
-    r"\bnao (tenho|ha|encontrei|existem?|disponho de|localizei|possuo|achei|constam?|identifiquei)( \w+)? (informac\w+|dados|elementos|conteudo|conhecimento|evidencias?|resposta|permissao|autorizacao|base|nos trechos|no material|nos documentos)(?! (de )?que\b)",
+    r"\bnao (tenho|ha|encontrei|existem?|disponho de|localizei|possuo|achei|constam?|identifiquei)( \w+)? (informac\w+|dados|elementos|conteudo|conhecimento|evidencias?|resposta|permissao|autorizacao|base|nos trechos|no material|nos documentos)\b(?! (de )?que\b)",
     r"\b(desculpe|desculpa|lamento|sinto muito|infelizmente|perdao)\b.{0,60}\b(nao|prefiro|foge|fora|impossivel)\b",
     r"\b(lamento|sinto muito)\b",
     r"\b(essa|esta) (pergunta|questao|solicitacao) (foge|esta fora|nao (esta|pode))",
@@ -114,9 +114,9 @@ LABELS = ("pergunta", "questao", "resposta", "a", "e", "question", "answer", "vo
 
 def is_copy(question: Column, answer: Column) -> Column:
     """The answer holds the question's words and, besides labels, no others."""
-    q, a = _bag(question), _bag(answer)
-    new = F.filter(a, lambda w: ~F.array_contains(q, w) & ~w.isin(*LABELS))
-    gone = F.filter(q, lambda w: ~F.array_contains(a, w) & ~w.isin(*LABELS))
+    q, a, labels = _bag(question), _bag(answer), F.array(*[F.lit(w) for w in LABELS])
+    new = F.array_except(a, F.concat(q, labels))
+    gone = F.array_except(q, F.concat(a, labels))
     return (F.size(q) > 2) & (F.size(new) == 0) & (F.size(gone) * 10 <= F.size(q)) & (F.size(a) <= F.size(q) + 4)
 
 

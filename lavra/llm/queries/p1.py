@@ -38,7 +38,7 @@ def shares(spark, directory):
     lines = allocation.select("plano_id", "linha", "total", "cota").join(drawn, ["plano_id", "linha"], "left").join(sums, "plano_id")
     return lines.select(
         "plano_id", "linha", F.coalesce("n", F.lit(0)).cast("bigint").alias("sorteadas"),
-        F.round(F.coalesce("n", F.lit(0)) / F.col("soma"), 6).alias("parte_obtida"), F.round(F.col("cota") / F.col("total"), 6).alias("parte_alvo"),
+        F.round(F.coalesce("n", F.lit(0)) / F.col("soma"), 6).alias("parte_obtida"), F.round(F.col("cota") / F.nullif(F.col("total"), F.lit(0)), 6).alias("parte_alvo"),
     )
 
 
@@ -83,6 +83,6 @@ WHERE greatest(minimo, n_total * proporcao) > coalesce(n, 0)""",
     "p1_report": _REPORT + " SELECT * FROM rel",
     "p1_sample": _REPORT + _SAMPLE + " SELECT * FROM amostra",
     "p1_shares": _REPORT + _SAMPLE + """, conta AS (SELECT plano_id, linha, count(*) AS n FROM amostra GROUP BY 1, 2), soma AS (SELECT plano_id, sum(n) AS s FROM conta GROUP BY 1)
-SELECT rel.plano_id, rel.linha, coalesce(n, 0)::BIGINT AS sorteadas, round(coalesce(n, 0) / s, 6) AS parte_obtida, round(cota / total, 6) AS parte_alvo
+SELECT rel.plano_id, rel.linha, coalesce(n, 0)::BIGINT AS sorteadas, round(coalesce(n, 0) / s, 6) AS parte_obtida, round(cota / nullif(total, 0), 6) AS parte_alvo
 FROM rel LEFT JOIN conta ON conta.plano_id = rel.plano_id AND conta.linha = rel.linha JOIN soma ON soma.plano_id = rel.plano_id""",
 }
