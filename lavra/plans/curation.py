@@ -174,7 +174,19 @@ def rate_limit(spark, d):
     return verdicts.join(events.select(F.col("event_id").alias("id"), "user_id"), "id").groupBy("user_id").agg(F.count_if("admitida").alias("admitidas"), F.count_if(~F.col("admitida")).alias("negadas"), F.round(F.max("espera"), 3).alias("maior_espera"))
 
 
+def router_train_predict(spark, d):
+    """A router trained on the curated set's training side (simple against composite questions), scored on every golden question: labels with a reject zone, by stratum."""
+    from lavra.operators import router
+    from lavra.operators.routing import decided
+
+    pairs = table(spark, d, "dataset_sintetico_v05b").where("particao = 'treino' AND tipo IN ('ancorado', 'composta')")
+    model = router.train(pairs, "pergunta", F.when(F.col("tipo") == "ancorado", 1.0).otherwise(0.0))
+    scored = router.predict(model, _questions(spark, d).select("pergunta", _stratum().alias("estrato")), "pergunta")
+    return scored.groupBy("estrato", decided(F.col("probabilidade"), 0.6).alias("rotulo")).agg(F.count("*").alias("perguntas"), F.round(F.avg("probabilidade"), 4).alias("media"))
+
+
 QUERIES = {
+    "router_train_predict": router_train_predict,
     "manifest_dedup": manifest_dedup, "manifest_by_course": manifest_by_course, "exact_dup_classes": exact_dup_classes, "fuzzy_vs_golden": fuzzy_vs_golden, "exact_vs_golden": exact_vs_golden, "pending_questions": pending_questions,
     "integrity_checks": integrity_checks, "reachable_questions": reachable_questions, "qa_curate": qa_curate, "stratified_sample": stratified_sample, "train_test_split": train_test_split, "typo_augment": typo_augment,
     "negative_rule": negative_rule, "window_cooccurrence": window_cooccurrence, "rate_limit": rate_limit,
