@@ -10,10 +10,13 @@ and length decide.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
+from lavra.sources.durable import cut
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -42,36 +45,20 @@ _FIGURE = r"[\\p{N})\\]};]$|:$"
 _WORD = r"[\\p{L}\\p{N}_\\x27-]+"
 
 
-def parts(texts: str, short: int) -> str:
-    """CTEs over ``texts`` (tabela, registro, fonte, texto, pergunta): trigramas (counts) and classes (the end of every text and its kind).
-
-    Ends are those that a stop marks, and those of whole short answers; an open end may be a cut and counts as none.
-    """
+def ends_sql(texts: str, short: int) -> str:
+    """SQL of the end of every text of (tabela, registro, fonte, texto, pergunta), and its kind."""
     return f"""
-textos AS (
+WITH textos AS (
   SELECT tabela, registro, min(fonte) AS fonte, min(texto) AS texto, min(pergunta) AS pergunta FROM {texts}
   WHERE registro IS NOT NULL AND texto IS NOT NULL AND trim(regexp_replace(texto, '\\\\s+', ' ')) <> '' GROUP BY tabela, registro),
 corpos AS (
-  SELECT *, regexp_replace(rtrim(regexp_replace(regexp_replace(texto, '{_REFERENCES}', ''), '\\\\s+$', '')), '{_CITATIONS}', '') AS corpo FROM textos),
+  SELECT tabela, registro, fonte, pergunta, length(texto) AS tamanho, regexp_replace(rtrim(regexp_replace(regexp_replace(texto, '{_REFERENCES}', ''), '\\\\s+$', '')), '{_CITATIONS}', '') AS corpo FROM textos),
 fins AS (
-  SELECT tabela, registro, fonte, texto, pergunta, corpo, length(texto) AS tamanho,
-    corpo RLIKE '{_DOTS}' AS reticencias, regexp_replace(corpo, '{_DOTS}', '') AS fim,
-    element_at(split(regexp_replace(corpo, '{_DOTS}', ''), '\\\\n'), -1) AS linha FROM corpos),
-frases AS (
-  SELECT id_texto, regexp_extract_all(lower(frase), '{_WORD}', 0) AS p, (frase RLIKE '{_STOP}' AND NOT frase RLIKE '{_DOTS}') OR (quantas = 1 AND size(regexp_extract_all(frase, '{_WORD}', 0)) <= {short}) AS termina
-  FROM (
-    SELECT id_texto, size(lista) AS quantas, lista FROM (
-      SELECT xxhash64(fim) AS id_texto, split(regexp_replace(fim, '\\\\s*\\\\[\\\\d+\\\\]', ''), '(?<=[.!?])\\\\s+|\\\\n+') AS lista FROM (SELECT DISTINCT fim FROM fins)))
-  LATERAL VIEW posexplode(lista) AS posicao, frase),
-trigramas AS (
-  SELECT t.a, t.b, t.c, count(*) AS dentro, count_if(t.fim AND termina) AS ao_fim
-  FROM frases LATERAL VIEW explode(CASE WHEN size(p) >= 3 THEN transform(sequence(1, size(p) - 2), i -> named_struct('a', p[i - 1], 'b', p[i], 'c', p[i + 1], 'fim', i = size(p) - 2)) END) AS t
-  GROUP BY t.a, t.b, t.c),
+  SELECT tabela, registro, fonte, pergunta, tamanho, corpo RLIKE '{_DOTS}' AS reticencias, regexp_replace(corpo, '{_DOTS}', '') AS fim FROM corpos),
 tipos AS (
-  SELECT *, regexp_extract_all(lower(linha), '{_WORD}', 0) AS p, size(regexp_extract_all(fim, '{_WORD}', 0)) AS palavras,
-    regexp_replace(lower(fim), '[^\\\\p{{L}}\\\\p{{N}}]+', '') AS liso, regexp_replace(lower(coalesce(pergunta, '')), '[^\\\\p{{L}}\\\\p{{N}}]+', '') AS pergunta_lisa FROM fins),
-classes AS (
-  SELECT *, CASE
+  SELECT *, element_at(split(fim, '\\\\n'), -1) AS linha, size(regexp_extract_all(fim, '{_WORD}', 0)) AS palavras,
+    regexp_replace(lower(fim), '[^\\\\p{{L}}\\\\p{{N}}]+', '') AS liso, regexp_replace(lower(coalesce(pergunta, '')), '[^\\\\p{{L}}\\\\p{{N}}]+', '') AS pergunta_lisa FROM fins)
+SELECT tabela, registro, fonte, tamanho, fim, regexp_extract_all(lower(linha), '{_WORD}', 0) AS p, CASE
     WHEN palavras = 0 THEN 'vazio'
     WHEN reticencias THEN 'reticencias'
     WHEN fim RLIKE '{_OPEN}' THEN 'virgula'
@@ -80,17 +67,45 @@ classes AS (
     WHEN linha RLIKE '{_FIGURE}' THEN 'figura'
     WHEN palavras <= {short} THEN 'curto'
     WHEN liso = pergunta_lisa THEN 'pergunta'
-    ELSE 'aberto' END AS classe FROM tipos)"""
+    ELSE 'aberto' END AS classe FROM tipos"""
+
+
+def trigrams_sql(ends: str, short: int) -> str:
+    """SQL of the trigrams of the distinct texts: occurrences, and those at ends.
+
+    Ends are those that a stop marks, and those of whole short answers; an open
+    end may be a cut and counts as none.
+    """
+    return f"""
+WITH frases AS (
+  SELECT regexp_extract_all(lower(frase), '{_WORD}', 0) AS p, (frase RLIKE '{_STOP}' AND NOT frase RLIKE '{_DOTS}') OR (quantas = 1 AND size(regexp_extract_all(frase, '{_WORD}', 0)) <= {short}) AS termina
+  FROM (
+    SELECT size(lista) AS quantas, lista FROM (
+      SELECT split(regexp_replace(fim, '\\\\s*\\\\[\\\\d+\\\\]', ''), '(?<=[.!?])\\\\s+|\\\\n+') AS lista FROM (SELECT DISTINCT fim FROM {ends})))
+  LATERAL VIEW explode(lista) AS frase)
+SELECT t.a, t.b, t.c, count(*) AS dentro, count_if(t.fim AND termina) AS ao_fim
+FROM frases LATERAL VIEW explode(CASE WHEN size(p) >= 3 THEN transform(sequence(1, size(p) - 2), i -> named_struct('a', p[i - 1], 'b', p[i], 'c', p[i + 1], 'fim', i = size(p) - 2)) END) AS t
+GROUP BY t.a, t.b, t.c"""
+
+
+def _stored(texts: DataFrame, settings: Settings) -> tuple[str, str]:
+    """Views of the ends and trigrams of all texts, made once and stored, as several branches read them."""
+    spark, name = texts.sparkSession, uuid.uuid4().hex
+    texts.createOrReplaceTempView(f"textos_{name}")
+    cut(spark.sql(ends_sql(f"textos_{name}", settings.short))).createOrReplaceTempView(f"fins_{name}")
+    cut(spark.sql(trigrams_sql(f"fins_{name}", settings.short))).createOrReplaceTempView(f"trigramas_{name}")
+    return f"fins_{name}", f"trigramas_{name}"
 
 
-def verdict_sql(texts: str, settings: Settings = Settings()) -> str:
+def verdict_sql(ends: str, trigrams: str, settings: Settings = Settings()) -> str:
     """SQL of every text's end: kind, share at which its last trigram stands at ends, and whether it is cut.
 
     The share of a rare trigram leans on that of its last word: the front of a
     word never ends anything, a noun now and then does.
     """
     return f"""
-WITH {parts(texts, settings.short)},
+WITH classes AS (SELECT * FROM {ends}),
+trigramas AS (SELECT * FROM {trigrams}),
 finais AS (SELECT c, sum(dentro) AS dentro, sum(ao_fim) AS ao_fim FROM trigramas GROUP BY c),
 medidos AS (
   SELECT c.tabela, c.registro, c.fonte, c.classe, c.tamanho, CAST(c.tamanho / {settings.band} AS BIGINT) AS faixa,
@@ -119,12 +134,10 @@ def verdicts(texts: DataFrame, settings: Settings = Settings()) -> DataFrame:
     own. ``pergunta`` may be null; a text that only repeats it is not cut. Whole
     texts are counted, over all rows.
     """
-    view = "lavra_textos"
-    texts.createOrReplaceTempView(view)
-    return texts.sparkSession.sql(verdict_sql(view, settings))
+    return texts.sparkSession.sql(verdict_sql(*_stored(texts, settings), settings))
 
 
-def likelihood_sql(texts: str, settings: Settings = Settings(), trust: float = 2.0, unseen: float = 0.01) -> str:
+def likelihood_sql(ends: str, trigrams: str, settings: Settings = Settings(), trust: float = 2.0, unseen: float = 0.01) -> str:
     """SQL of the likelihood that a text ends after its last words, and whether it is cut.
 
     The share of a trigram's occurrences that stand at ends is smoothed with that
@@ -135,7 +148,8 @@ def likelihood_sql(texts: str, settings: Settings = Settings(), trust: float = 2
     length decide.
     """
     return f"""
-WITH {parts(texts, settings.short)},
+WITH classes AS (SELECT * FROM {ends}),
+trigramas AS (SELECT * FROM {trigrams}),
 bigramas AS (SELECT b, c, sum(dentro) AS dentro, sum(ao_fim) AS ao_fim FROM trigramas GROUP BY b, c),
 unigramas AS (SELECT c, sum(dentro) AS dentro, sum(ao_fim) AS ao_fim FROM bigramas GROUP BY c),
 contados AS (
@@ -159,9 +173,7 @@ SELECT tabela, registro, 0.0, true FROM classes WHERE classe IN ('reticencias',
 
 def end_likelihoods(texts: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Likelihood of the end of every text without a mark of its end; inputs and nulls as in :func:`verdicts`."""
-    view = "lavra_textos_fim"
-    texts.createOrReplaceTempView(view)
-    return texts.sparkSession.sql(likelihood_sql(view, settings))
+    return texts.sparkSession.sql(likelihood_sql(*_stored(texts, settings), settings))
 
 
 def rates(verdicts_: DataFrame) -> DataFrame:
