@@ -29,13 +29,3 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` as reliably stored rows, without the plan that made them."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def wide_enough(df: DataFrame) -> DataFrame:
-    """``df`` in at least as many partitions as the session has slots.
-
-    A small file is one partition; work that is dear per row (models,
-    automata) would then run in one task.
-    """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= slots else df.repartition(slots)
