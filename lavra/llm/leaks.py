@@ -113,57 +113,64 @@ class Automaton:
         return state
 
 
-def align(item: list[str], text: list[str], margin: int, limits: Limits) -> tuple[int, int, int, int, int]:
-    """Best local alignment: (item from, to, text from, to, errors).
+def _misspelt(word: str, other: str, edge: bool) -> bool:
+    return near(word, other, 2) if edge else len(word) > 2 and near(word, other, 2 if len(word) > 7 else 1)
 
-    ``text`` starts ``margin`` words before the diagonal of the seeds; the
-    alignment stays within as many words of that diagonal.
+
+def reach(item: list[str], text: list[str], most: int) -> list[tuple[int, int]]:
+    """(item words, text words) that the longest common beginning has with 0, 1, .. ``most`` errors; it ends on a word of both.
 
     A misspelt, missing or added word is an error; a word replaced by quite
-    another one ends the alignment.
+    another one ends the alignment. Per number of errors and diagonal only the
+    furthest place counts. ``item`` ends where the whole item does.
     """
-    # Each cell: (score, item from, text from, errors); an error costs what slack-1 words earn.
-    cost, best, top = limits.slack - 1, (0, 0, 0, 0, 0), 0
-    none = (0, 0, 0, 0)
-    row = [none] * (len(text) + 1)
-    for i, word in enumerate(item, 1):
-        fresh = [none] * (len(text) + 1)
-        for j in range(max(1, i), min(len(text), i + 2 * margin) + 1):
-            before, other = row[j - 1], text[j - 1]
-            cell = none
-            if word == other:
-                cell = (before[0] + 1, before[1], before[2], before[3]) if before[0] else (1, i - 1, j - 1, 0)
-            else:
-                options = []
-                if before[0] > cost - 1 and len(word) > 3 and near(word, other, 2 if len(word) > 7 else 1):
-                    options.append((before[0] + 1 - cost / 2, before[1], before[2], before[3] + 1))
-                up, left = row[j], fresh[j - 1]
-                if up[0] > cost:
-                    options.append((up[0] - cost, up[1], up[2], up[3] + 1))
-                if left[0] > cost:
-                    options.append((left[0] - cost, left[1], left[2], left[3] + 1))
-                if options:
-                    cell = max(options)
-            fresh[j] = cell
-            if cell[0] > top:
-                top, best = cell[0], (cell[1], i, cell[2], j, cell[3])
-        row = fresh
+    best, front = [], {(0, "="): 0}
+    for _ in range(most + 1):
+        fresh, top = {}, best[-1] if best else (0, 0)
+        for (diagonal, last), at in front.items():
+            i, start = at, at
+            while i < len(item) and i + diagonal < len(text) and item[i] == text[i + diagonal]:
+                i += 1
+            last = "=" if i > start else last
+            if last == "=" and i > top[0]:
+                top = (i, i + diagonal)
+            options = []
+            if i < len(item) and i + diagonal < len(text) and _misspelt(item[i], text[i + diagonal], i == len(item) - 1):
+                options.append((diagonal, "=", i + 1))
+            if i < len(item) and last != "+":
+                options.append((diagonal - 1, "-", i + 1))
+            if i + diagonal < len(text) and last != "-":
+                options.append((diagonal + 1, "+", i))
+            for to, kind, place in options:
+                if fresh.get((to, kind), -1) < place:
+                    fresh[to, kind] = place
+        best.append(top)
+        front = fresh
     return best
 
 
-def _held(item: list[str], text: list[str], margin: int, limits: Limits) -> tuple[int, int, int, int, int] | None:
-    start, stop, first, last, errors = align(item, text, margin, limits)
-    # Words at either end of an item that only a misspelling keeps out of the alignment belong to it.
-    if start == 1 and first >= 1 and near(item[0], text[first - 1], 2):
-        start, first, errors = 0, first - 1, errors + 1
-    if stop == len(item) - 1 and last < len(text) and near(item[-1], text[last], 2):
-        stop, last, errors = len(item), last + 1, errors + 1
-    size = stop - start
-    if errors * limits.slack > size:
-        return None
-    if size >= limits.consecutive or (size == len(item) and size > 0):
-        return start, stop, first, last, errors
-    return None
+def extend(item: list[str], text: list[str], start: int, stop: int, first: int, limits: Limits) -> tuple[tuple[int, int, int, int, int] | None, int]:
+    """The best passage around a seed, as (item from, to, text from, to, errors), and the end in the text of the seed's errorless run.
+
+    The seed is ``item[start:stop]`` and begins at ``text[first]``. Errors count
+    over the whole passage, wherever in it they stand.
+    """
+    most, last = len(item) // limits.slack, first + stop - start
+    before = reach(item[:start][::-1], text[max(0, first - start - most) : first][::-1], most)
+    after = reach(item[stop:], text[last : last + len(item) - stop + most], most)
+    best = None
+    for e, (i, j) in enumerate(before):
+        for f, (k, m) in enumerate(after[: most - e + 1]):
+            size, errors = i + stop - start + k, e + f
+            # A word that a whole item lacks at its ends is missing like any other.
+            lacking = len(item) - size
+            if size < limits.consecutive and lacking and (errors + lacking) * limits.slack <= len(item):
+                size, errors = len(item), errors + lacking
+            if errors * limits.slack <= size and (size >= limits.consecutive or size == len(item)):
+                # An error must bring a word of both besides its own, lest chance words lengthen the passage.
+                found = (size == len(item), size - 2 * errors, stop + k - (start - i)), (start - i, stop + k, first - j, last + m, errors)
+                best = found if best is None else max(best, found, key=lambda x: x[0])
+    return best[1] if best else None, last + after[0][1]
 
 
 def _seeds_left(size: int, limits: Limits) -> int:
@@ -190,19 +197,20 @@ def scan(text: list[str], items: dict[int, list[str]], automaton: Automaton, lim
         if len(places) < enough:
             continue
         least = min(len(item), limits.consecutive)
-        drift, reach = least // limits.slack, least + least // limits.slack
+        drift, reach_words = least // limits.slack, least + least // limits.slack
         places = sorted({(at, diagonal) for diagonal, at in places})
-        done = -1
+        done, tried = -1, {}
+        seed = limits.short_seed if len(item) < limits.consecutive else limits.seed
         for at, diagonal in places:
-            # Only seeds that lie close together, on nearly one diagonal, are worth an alignment.
-            if at <= done or len({a for a, d in places if at <= a < at + reach and abs(d - diagonal) <= drift}) < enough:
+            # Only seeds that lie close together, on nearly one diagonal, are worth an alignment; those of one errorless run give the same.
+            if at <= max(done, tried.get(diagonal, -1)) or len({a for a, d in places if at <= a < at + reach_words and abs(d - diagonal) <= drift}) < enough:
                 continue
-            margin = 1 + len(item) // limits.slack
-            low, high = diagonal - margin, max(0, diagonal + len(item) + margin)
-            part = [""] * max(0, -low) + text[max(0, low) : high]
-            if held := _held(item, part, margin, limits):
-                found.append((key, held[0], held[1], held[2] + low, held[3] + low, held[4]))
-                done = held[3] + low
+            stop = at - diagonal + 1
+            held, end = extend(item, text, stop - seed, stop, at + 1 - seed, limits)
+            tried[diagonal] = end - 1
+            if held:
+                found.append((key, *held))
+                done = held[3]
     return found
 
 

@@ -1,6 +1,6 @@
 import random
 
-from lavra.llm.leaks import Automaton, Limits, cleaned, leaked_pairs, passages
+from lavra.llm.leaks import Automaton, Limits, cleaned, leaked_pairs, passages, scan
 
 ITEMS = "item_id long, texto string, text string"
 DOCS = "doc_id long, text string, texto string"
@@ -47,3 +47,31 @@ def test_empty(spark):
     docs = spark.createDataFrame([(1, "a b c", "y")], DOCS)
     assert passages(docs, none).count() == 0
     assert passages(spark.createDataFrame([], DOCS), spark.createDataFrame([(1, "a b c d e", "x")], ITEMS)).count() == 0
+
+
+def held(item, copy):
+    filler = words(7, 60)
+    machine = Automaton([(1, item)], Limits())
+    return [(a, b) for _, a, b, _, _, _ in scan(filler[:30] + copy + filler[30:], {1: item}, machine, Limits())]
+
+
+def test_errors_anywhere_in_a_short_item():
+    item = words(5, 10)
+    for k in range(10):
+        misspelt = item[k][:2] + "x" + item[k][3:]
+        assert held(item, item[:k] + [misspelt] + item[k + 1 :]) == [(0, 10)], k
+        assert held(item, item[:k] + item[k + 1 :]) == [(k == 0, 10 - (k == 9))], k
+        assert held(item, item[:k] + ["acrescimo"] + item[k:]) == [(0, 10)], k
+        if 0 < k < 9:
+            assert held(item, item[:k] + ["acrescimo"] + item[k + 1 :]) == [], k
+    assert held(item, item[:2] + item[3:7] + item[8:]) == []
+
+
+def test_errors_near_the_ends_of_an_excerpt():
+    item = words(6, 60)
+    for size in (20, 22, 25):
+        for k in range(1, size - 1):
+            copy = item[10 : 10 + size]
+            assert held(item, copy[:k] + [copy[k][:2] + "x" + copy[k][3:]] + copy[k + 1 :]) == [(10, 10 + size)], (size, k)
+            assert held(item, copy[:k] + copy[k + 1 :]) == [(10, 10 + size)], (size, k)
+    assert held(item, item[10:29]) == [] and held(item, item[10:12] + item[13:29]) == []
