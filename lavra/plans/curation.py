@@ -164,6 +164,48 @@ def window_cooccurrence(spark, d):
     return full.groupBy(F.col("doc").alias("doc_id")).agg(F.count("*").alias("chunks"), F.count_if("presente").alias("presentes"))
 
 
+def negative_rule_all(spark, d):
+    """As ``negative_rule``, with every title of the question's documents as an option, and the number of options and of absent ones.
+
+    A title counts where its words stand in a row; one without a letter or digit is no option.
+    """
+    plain = lambda c: F.trim(F.regexp_replace(X.scan_key(F.col(c)), "[^a-z0-9]+", "  "))
+    q = _questions(spark, d).where(_stratum() == "negativa").select(F.col("id").alias("q"), F.explode(F.array_distinct("docs_esperados")).alias("doc"))
+    chunks = table(spark, d, "chunks").select(F.col("doc_id").alias("doc"), "titulo", "texto").join(q.select("doc").distinct(), "doc", "left_semi")
+    titles = chunks.where("titulo IS NOT NULL").select("doc", X.scan_key(F.col("titulo")).alias("opcao"), plain("titulo").alias("alvo")).where("alvo <> ''").distinct()
+    options = q.join(titles, "doc").select("q", "opcao", "alvo").distinct()
+    # Counted once per document and title, in those chunks only that hold the title's first word.
+    wanted = options.join(q, "q").select("doc", "alvo", F.split("alvo", " ")[0].alias("w")).distinct()
+    texts = chunks.where("texto IS NOT NULL").select("doc", plain("texto").alias("t")).groupBy("doc", "t").agg(F.count("*").alias("copias")).withColumn("chave", F.md5("t"))
+    held = texts.select("doc", "chave", F.explode(F.array_distinct(F.split("t", " +"))).alias("w"))
+    padded = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
+    t, target = padded(F.col("t")), padded(F.col("alvo"))
+    hits = wanted.join(held, ["doc", "w"]).select("doc", "alvo", "chave").join(texts, ["doc", "chave"]).select("doc", "alvo", (F.col("copias") * ((F.length(t) - F.length(F.replace(t, target, F.lit("")))) / F.length(target)).cast("bigint")).alias("n"))
+    counted = hits.groupBy("doc", "alvo").agg(F.sum("n").alias("n"))
+    by_question = options.join(q, "q").join(counted, ["doc", "alvo"], "left").groupBy("q", "opcao").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    # Aggregates, not lists: a question may have any number of options.
+    least = by_question.groupBy("q").agg(F.min(F.struct("n", "opcao")).alias("menor"), F.count("*").alias("opcoes"), F.count_if(F.col("n") == 0).alias("ausentes"))
+    ties = by_question.join(least, "q").where(F.col("n") == F.col("menor.n")).groupBy("q").agg(F.count("*").alias("iguais"))
+    first = F.when(F.col("ausentes") == 1, F.col("menor.opcao"))
+    third = F.when(F.col("ausentes") > 0, first).when(F.col("iguais") < F.col("opcoes"), F.col("menor.opcao"))
+    why = F.when(F.col("ausentes") == 1, "ausente unica").when(F.col("ausentes") > 1, "ambigua").otherwise("todas presentes")
+    return least.join(ties, "q").select(F.col("q").alias("pergunta_id"), first.alias("regra_1"), third.alias("regra_3"), why.alias("motivo"), "opcoes", "ausentes")
+
+
+def window_cooccurrence_all(spark, d):
+    """As ``window_cooccurrence``, for every title of two lemmas or more of every document: chunks with any of its lemmas, and with all within 14 words."""
+    t = table(spark, d, "chunks")
+    titles = t.where("titulo IS NOT NULL").select(F.col("doc_id").alias("doc"), F.array_sort(F.array_distinct(F.filter(X.lemmas(F.col("titulo")), lambda w: ~w.isin("de", "do", "da", "com")))).alias("l")).where(F.size("l") >= 2).distinct()
+    titles = titles.select("doc", F.array_join("l", " ").alias("lemas"), "l")
+    words = t.where("texto IS NOT NULL").select("id", F.col("doc_id").alias("doc"), F.posexplode(X.lemmas(F.col("texto"))).alias("pos", "w"))
+    hits = words.join(titles.select("doc", "lemas", F.size("l").alias("n"), F.explode("l").alias("w")), ["doc", "w"])
+    near = Window.partitionBy("doc", "id", "lemas").orderBy("pos").rangeBetween(0, 14)
+    full = hits.withColumn("junto", F.size(F.collect_set("w").over(near)) == F.col("n")).groupBy("doc", "lemas", "id").agg(F.max("junto").alias("presente"))
+    counted = full.groupBy("doc", "lemas").agg(F.count("*").alias("chunks"), F.count_if("presente").alias("presentes"))
+    rows = titles.select("doc", "lemas").join(counted, ["doc", "lemas"], "left")
+    return rows.select(F.col("doc").alias("doc_id"), "lemas", F.coalesce("chunks", F.lit(0)).alias("chunks"), F.coalesce("presentes", F.lit(0)).alias("presentes"))
+
+
 # Requests ---------------------------------------------------------------------------
 
 
@@ -190,6 +232,7 @@ QUERIES = {
     "manifest_dedup": manifest_dedup, "manifest_by_course": manifest_by_course, "exact_dup_classes": exact_dup_classes, "fuzzy_vs_golden": fuzzy_vs_golden, "exact_vs_golden": exact_vs_golden, "pending_questions": pending_questions,
     "integrity_checks": integrity_checks, "reachable_questions": reachable_questions, "qa_curate": qa_curate, "stratified_sample": stratified_sample, "train_test_split": train_test_split, "typo_augment": typo_augment,
     "negative_rule": negative_rule, "window_cooccurrence": window_cooccurrence, "rate_limit": rate_limit,
+    "negative_rule_all": negative_rule_all, "window_cooccurrence_all": window_cooccurrence_all,
 }
 
 _KEY = "regexp_replace(lower({0}), '[^a-z0-9]', '', 'g')"
