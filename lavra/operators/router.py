@@ -22,7 +22,7 @@ def char_grams(text: Column, least: int = 3, most: int = 5) -> Column:
     return F.flatten(F.array(*[grams(n) for n in range(least, most + 1)]))
 
 
-def train(rows: DataFrame, text: str, label: Column, sample: int = 2000, rounds: int = 20, features: int = 1000, seed: int = 0) -> PipelineModel:
+def train(rows: DataFrame, text: str, label: Column, sample: int = 2000, rounds: int = 100, features: int = 1000, seed: int = 0) -> PipelineModel:
     """A router from at most ``sample`` labelled texts, chosen by hash; ``label`` is 1.0 for the first class, 0.0 for the other."""
     chosen = rows.where(F.col(text).isNotNull()).select(char_grams(F.col(text)).alias("gramas"), label.alias("label"), F.xxhash64(text).alias("h")).where(F.col("label").isNotNull()).orderBy("h").limit(sample)
     stages = [HashingTF(inputCol="gramas", outputCol="tf", numFeatures=features), IDF(inputCol="tf", outputCol="features"), GBTClassifier(maxDepth=3, maxIter=rounds, stepSize=0.1, seed=seed)]

@@ -15,3 +15,8 @@ def test_router_learns(spark):
 def test_grams(spark):
     got = spark.createDataFrame([("Olá",)], "x string").select(router.char_grams(F.col("x"), 3, 4).alias("g")).first()["g"]
     assert got == [" ol", "ola", "la ", " ola", "ola "]
+
+
+def test_all_rounds_are_fitted(spark):
+    df = spark.createDataFrame([("qual o valor?", 1.0), ("compare e explique", 0.0)] * 3, "pergunta string, r double")
+    assert router.train(df, "pergunta", F.col("r"), features=20).stages[-1].getNumTrees == 100
