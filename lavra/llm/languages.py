@@ -3,7 +3,9 @@
 Every sentence is a TF-IDF vector of character n-grams, compared by cosine with
 several clustered centroids of each language; a sentence nearer to none than the
 training sentences are to theirs (code, figures, names) is rejected and belongs
-to the segment around it.
+to the segment around it. An n-gram weighs less the more evenly two languages
+share it, so that centroids gather what tells languages apart, not topics that
+texts of several languages have in common.
 """
 
 from __future__ import annotations
@@ -27,7 +29,13 @@ THREE_LETTERS = {"por": "pt", "eng": "en", "spa": "es", "fra": "fr", "fre": "fr"
 
 @dataclass(frozen=True)
 class Settings:
-    """``sample`` bounds the labelled texts, and the labelled documents, of a language that the centroids are fitted on."""
+    """``sample`` bounds the labelled texts, and the labelled documents, of a language that the centroids are fitted on.
+
+    A sentence is rejected below ``reject`` times the cosine, and lies between
+    two languages below ``between`` times the lead, that all but one in a hundred
+    training sentences reach. One of fewer than ``letters`` letters is judged
+    together with the other short ones of its document.
+    """
 
     orders: tuple[int, ...] = (2, 3, 4)
     bits: int = 18
@@ -36,7 +44,7 @@ class Settings:
     agree: float = 0.05
     rounds: int = 8
     reject: float = 0.6
-    margin: float = 0.06
+    between: float = 0.3
     letters: int = 12
     batch_characters: int = 250_000
 
@@ -55,28 +63,37 @@ class Centroids:
     def __init__(self, samples: list[tuple[str, str]], settings: Settings):
         self.settings = settings
         self.languages = sorted({lang for lang, _ in samples})
+        self.margin = 0.0
         texts = [letters_only(t) for _, t in samples]
         owner, bucket, count = self._counts(texts)
-        size = 1 << settings.bits
-        seen = np.bincount(bucket, minlength=size)
-        self.idf = np.log((1 + len(texts)) / (1 + seen)).astype(np.float32) + np.float32(1)
+        labels = np.array([self.languages.index(lang) for lang, _ in samples])
+        size, kinds = 1 << settings.bits, len(self.languages)
+        per = np.bincount(bucket.astype(np.int64) * kinds + labels[owner], minlength=size * kinds).reshape(size, kinds)
+        seen = per.sum(axis=1)
+        # Share of each language's texts that hold the n-gram; what none holds keeps its whole weight, as a sign of distance.
+        rate = np.sort((per + 0.5) / (np.bincount(labels, minlength=kinds) + 1.0), axis=1)
+        tells = (rate[:, -1] - rate[:, -2]) / (rate[:, -1] + rate[:, -2]) if kinds > 1 else np.ones(size)
+        self.idf = ((np.log((1 + len(texts)) / (1 + seen)) + 1) * np.where(seen > 0, tells, 1.0)).astype(np.float32)
         known = np.flatnonzero(seen)
-        self.row = np.full(size, len(known), dtype=np.int64)
+        self.row = np.full(size, len(known), dtype=np.int32)
         self.row[known] = np.arange(len(known))
-        labels = np.array([self.languages.index(lang) for lang, _ in samples])
-        weight = (1 + np.log(count.astype(np.float32))) * self.idf[bucket]
+        weight = self._weights(bucket, count)
         weight /= np.sqrt(np.maximum(np.bincount(owner, weights=weight * weight, minlength=len(texts)), 1e-9))[owner].astype(np.float32)
         centres, self.owner, near = [], [], []
-        for k in range(len(self.languages)):
+        for k in range(kinds):
             mine = labels[owner] == k
             found, cosine = self._cluster(owner[mine], self.row[bucket[mine]], weight[mine], len(known))
             near.append(float(np.percentile(cosine, 1)))
             centres += list(found)
             self.owner += [k] * len(found)
-        self.matrix = np.vstack([np.stack(centres, axis=1), np.zeros((1, len(centres)), dtype=np.float32)]).astype(np.float32)
+        # A row a centroid: the gathers of one centroid stay in a core's cache.
+        self.matrix = np.hstack([np.stack(centres), np.zeros((len(centres), 1), dtype=np.float32)]).astype(np.float32)
         self.owner = np.array(self.owner)
         self.least = min(near) * settings.reject
 
+    def _weights(self, bucket: np.ndarray, count: np.ndarray) -> np.ndarray:
+        return (1 + np.log(count.astype(np.float32))) * self.idf[bucket]
+
     def _cluster(self, owner: np.ndarray, row: np.ndarray, weight: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Spherical k-means of the sparse unit vectors (owner, row, weight): centres, and each vector's cosine with its own."""
         starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
@@ -99,43 +116,63 @@ class Centroids:
         return centres, cosines(centres).max(axis=1)
 
     def _counts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, bucket, occurrences) of every n-gram of the texts, by text."""
         points, owner = codes(texts)
-        keys = []
-        for order in self.settings.orders:
-            bucket, who = hashes(points, owner, order, self.settings.bits)
-            keys.append(who << self.settings.bits | bucket)
-        keys, count = np.unique(np.concatenate(keys), return_counts=True)
-        return keys >> self.settings.bits, keys & ((1 << self.settings.bits) - 1), count
-
-    def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(nearest language or -1 where rejected, lead over the next language, cosine with every language)."""
+        bits = self.settings.bits
+        found = [hashes(points, owner, order, bits) for order in self.settings.orders]
+        # Narrow keys sort faster; a batch of sentences fits them.
+        narrow = len(texts) <= 1 << (32 - bits)
+        keys = np.concatenate([who << bits | bucket for bucket, who in found]).astype(np.uint32 if narrow else np.int64)
+        keys.sort()
+        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, dtype=np.int64)
+        count = np.diff(np.r_[starts, len(keys)])
+        keys = keys[starts]
+        return (keys >> bits).astype(np.int32), (keys & ((1 << bits) - 1)).astype(np.int32), count
+
+    def score(self, texts: list[str], letters: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(nearest language or -1 where rejected, lead over the next language, cosine with every language).
+
+        Texts of fewer than ``letters`` letters (those of the settings) are rejected.
+        """
+        least = self.settings.letters if letters is None else letters
         parts, begin = [(np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros((0, len(self.languages))))], 0
         ends = np.cumsum([len(t) for t in texts])
         while begin < len(texts):
             # Blocks of bounded size; a longer text is a block of its own.
             limit = (ends[begin - 1] if begin else 0) + self.settings.batch_characters
             stop = max(begin + 1, int(np.searchsorted(ends, limit, side="right")))
-            parts.append(self._score(texts[begin:stop]))
+            parts.append(self._score(texts[begin:stop], least))
             begin = stop
         return tuple(np.concatenate(x) for x in zip(*parts))
 
-    def _score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _score(self, texts: list[str], letters: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         plain = [letters_only(t) for t in texts]
         owner, bucket, count = self._counts(plain)
-        weight = (1 + np.log(count.astype(np.float32))) * self.idf[bucket]
+        weight = self._weights(bucket, count)
         square = np.bincount(owner, weights=weight * weight, minlength=len(texts))
         row = self.row[bucket]
-        cosine = np.zeros((len(texts), self.matrix.shape[1]))
-        starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, dtype=np.int64)
+        cosine = np.zeros((len(texts), len(self.matrix)))
         if len(owner):
-            cosine[owner[starts]] = np.add.reduceat(self.matrix[row] * weight[:, None], starts, axis=0)
+            starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+            cosine[owner[starts]] = np.stack([np.add.reduceat(centre[row] * weight, starts) for centre in self.matrix], axis=1)
         cosine /= np.sqrt(np.maximum(square, 1e-9))[:, None]
         best = np.stack([cosine[:, self.owner == k].max(axis=1) for k in range(len(self.languages))], axis=1)
         order = np.sort(best, axis=1)
         lang, top = best.argmax(axis=1), order[:, -1]
         lead = top - order[:, -2] if best.shape[1] > 1 else top
-        size = np.fromiter((sum(c.isalpha() for c in p) for p in plain), dtype=np.int64, count=len(plain))
-        return np.where((top < self.least) | (size < self.settings.letters), -1, lang), lead, best
+        size = np.fromiter((len(p) - p.count(" ") for p in plain), dtype=np.int64, count=len(plain))
+        return np.where((top < self.least) | (size < letters), -1, lang), lead, best
+
+    def document(self, own: list[str], lang: np.ndarray, lead: np.ndarray, best: np.ndarray) -> list[tuple[int, float]]:
+        """The segments of a document's scored sentences; where none has a language, that of its short sentences as one text."""
+        found = segments(lang, lead, best, self.margin)
+        if not found:
+            short = " ".join(s for s in own if sum(map(str.isalpha, s)) < self.settings.letters)
+            if short:
+                k, ahead, cosines = self.score([short], letters=1)
+                if k[0] >= 0 and ahead[0] >= self.margin:
+                    found = segments(k, ahead, cosines, self.margin)
+        return found
 
 
 _END = re.compile(r"(?<=[.!?;:])[\"'”»)\]]*\s+")
@@ -190,30 +227,58 @@ _OUT = T.StructType([T.StructField("doc", T.LongType()), T.StructField("rotulo",
 
 
 def fit(samples: DataFrame, documents: DataFrame | None = None, *, language: str = "idioma", text: str = "texto", label: str = "lang", body: str = "text", settings: Settings = Settings()) -> Centroids:
-    """Centroids from at most ``settings.sample`` labelled texts a language, chosen by hash.
+    """Centroids from at most ``settings.sample`` different labelled texts a language, chosen by hash.
 
     With ``documents``, as many of its documents a label are added: of their
     sentences those for which the first centroids agree with the label, so that
-    wrong labels and mixed texts teach nothing.
+    wrong labels and mixed texts teach nothing. They are used only if centroids
+    fitted with them name left-out labelled sentences at least as well.
     """
     first = _bounded(samples, F.col(language), text, settings.sample)
     if not first:
         raise ValueError("no labelled texts to fit languages on")
     centroids = Centroids(first, settings)
-    if documents is None:
-        return centroids
-    labelled = documents.where(label_code(F.col(label)).isin(centroids.languages))
-    more = [(lang, s) for lang, t in _bounded(labelled, label_code(F.col(label)), body, settings.sample) for s in sentences(t)]
-    found, lead, _ = centroids.score([s for _, s in more])
-    kept = [(lang, s) for (lang, s), k, gap in zip(more, found, lead) if k >= 0 and centroids.languages[k] == lang and gap >= settings.agree]
-    return Centroids(first + sorted(set(kept)), settings)
+    right, margin = held_out(first, [], settings)
+    if documents is not None:
+        labelled = documents.where(label_code(F.col(label)).isin(centroids.languages))
+        more = [(lang, s) for lang, t in _bounded(labelled, label_code(F.col(label)), body, settings.sample) for s in sentences(t)]
+        found, lead, _ = centroids.score([s for _, s in more])
+        kept = sorted({(lang, s) for (lang, s), k, gap in zip(more, found, lead) if k >= 0 and centroids.languages[k] == lang and gap >= settings.agree})
+        right_with, margin_with = held_out(first, kept, settings)
+        if kept and right_with >= right:
+            centroids, margin = Centroids(first + kept, settings), margin_with
+    centroids.margin = margin
+    return centroids
+
+
+def held_out(first: list[tuple[str, str]], more: list[tuple[str, str]], settings: Settings) -> tuple[float, float]:
+    """(share of labelled sentences named rightly, margin) by centroids that were fitted on the other half of the labelled texts, and ``more``.
+
+    The margin is what a sentence's lead must reach: ``settings.between`` times
+    the lead that all but one in a hundred rightly named sentences have.
+    """
+    right, leads, asked = 0, [], 0
+    for half in (0, 1):
+        train, test = ([x for n, x in enumerate(first) if (n % 2 == half) == side] for side in (False, True))
+        if not train or not test:
+            continue
+        model = Centroids(train + more, settings)
+        pieces = [(lang, s) for lang, t in test for s in sentences(t)]
+        found, lead, _ = model.score([s for _, s in pieces])
+        good = [k >= 0 and model.languages[k] == lang for k, (lang, _) in zip(found, pieces)]
+        right, asked = right + sum(good), asked + len(good)
+        leads += [gap for gap, ok in zip(lead, good) if ok]
+    return right / max(asked, 1), settings.between * float(np.percentile(leads, 1)) if leads else 0.0
 
 
 def _bounded(rows: DataFrame, language: Column, text: str, most: int) -> list[tuple[str, str]]:
+    """The first ``most`` different texts of each language by hash; copies count once."""
     usable = rows.where(language.isNotNull() & (F.trim(F.col(text)) != "")).select(language.alias("l"), F.col(text).alias("t"), F.xxhash64(F.col(text)).alias("h"))
-    # Each partition keeps its first texts by hash before any is moved.
-    place = F.row_number().over(Window.partitionBy("l").orderBy("h", "t"))
-    return sorted((r.l, r.t) for r in usable.withColumn("p", place).where(F.col("p") <= most).select("l", "t").collect())
+    # Hashes are ranked, not texts: each partition keeps its first ones before any is moved.
+    place = F.row_number().over(Window.partitionBy("l").orderBy("h"))
+    chosen = usable.select("l", "h").distinct().withColumn("p", place).where(F.col("p") <= most).select("l", "h")
+    # At most ``most`` hashes a language are broadcast.
+    return sorted((r.l, r.t) for r in usable.join(F.broadcast(chosen), ["l", "h"]).select("l", "t").distinct().collect())
 
 
 def identify(documents: DataFrame, centroids: Centroids, *, id: str = "doc_id", text: str = "text", label: str = "lang") -> DataFrame:
@@ -244,7 +309,7 @@ def identify(documents: DataFrame, centroids: Centroids, *, id: str = "doc_id",
             for doc, code, count in zip(batch["doc"], batch["rotulo"], counts):
                 own = slice(at, at + count)
                 at += count
-                found = segments(lang[own], lead[own], best[own], model.settings.margin)
+                found = model.document(pieces[own], lang[own], lead[own], best[own])
                 named = [(model.languages[x], c) for x, c in found] or [("und", 1.0)]
                 out += [(doc, code, n, name, round(float(c), 4), len(named)) for n, (name, c) in enumerate(named)]
             yield pd.DataFrame(out, columns=_OUT.names)

@@ -1,4 +1,4 @@
-from lavra.llm.languages import Centroids, Settings, identify, label_code, mislabelled, sentences
+from lavra.llm.languages import Centroids, Settings, fit, identify, label_code, mislabelled, sentences
 
 PT = ["O modelo mede o corpus com poucos exemplos, porque a rede não guarda os pesos.", "Segundo o relatório, a função de custo reduz o ruído em cada rodada.", "A turma percebeu que o agente não evita o sobreajuste na maior parte dos testes.", "No experimento, a média móvel simplifica a transcrição quando o limiar é baixo."]
 EN = ["The model measures the corpus with few examples, because the network does not keep the weights.", "According to the report, the loss function reduces the noise in each round.", "The class noticed that the agent does not avoid overfitting in most of the tests.", "In the experiment, the moving average simplifies the transcript when the threshold is low."]
@@ -31,3 +31,28 @@ def test_parts(spark):
 
 def test_empty(spark):
     assert segments(spark, []).count() == 0
+
+
+def test_copies_teach_nothing(spark):
+    rows = [(k, f"{a} {b}", lang, "x", "y") for k, (lang, a, b) in enumerate([("pt", PT[0], PT[1]), ("pt", PT[2], PT[3]), ("en", EN[0], EN[1]), ("en", EN[2], EN[3]), (None, PT[1], EN[2])])]
+    once = spark.createDataFrame(rows, SCHEMA)
+    tenfold = once.unionByName(spark.createDataFrame([(100 * n + i, *rest) for n in range(1, 10) for i, *rest in rows], SCHEMA))
+    samples = spark.createDataFrame([("pt", t) for t in PT] + [("en", t) for t in EN], "idioma string, texto string")
+    settings = Settings(centroids=2, sample=3)
+    first, second = (fit(samples, df, settings=settings) for df in (once, tenfold))
+    assert (first.matrix == second.matrix).all() and first.margin == second.margin
+    named = lambda model: sorted(tuple(r) for r in identify(once, model).collect())
+    assert named(first) == named(second)
+
+
+def test_short_sentences_together(spark):
+    short = "Não guarda.\nO ruído.\nA rede.\nOs pesos.\nNa turma."
+    assert [r.idioma for r in segments(spark, [(1, short, None)]).collect()] == ["pt"]
+    assert [r.idioma for r in segments(spark, [(1, "x = 3;\ny = 4;", None)]).collect()] == ["und"]
+
+
+def test_shared_topics_tell_nothing():
+    topic = [("pt", f"O índice invertido {x} o corpus, porque a rede não guarda os pesos.") for x in ("mede", "reduz")] + [("es", f"El índice invertido {x} el corpus en la red.") for x in ("mide", "reduce", "filtra", "ordena", "traza")]
+    model = Centroids(topic + [("pt", t) for t in PT], Settings(centroids=3))
+    found, *_ = model.score(["Segundo a turma, o índice invertido não reduz o ruído."])
+    assert model.languages[found[0]] == "pt"
