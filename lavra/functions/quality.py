@@ -7,23 +7,30 @@ from pyspark.sql import functions as F
 
 # Letters that count as text beside ASCII ones; upper-case accented letters do not.
 TEXT_CHARACTERS = "A-Za-z0-9áéíóúâêôãõç "
+# What marks an e-mail address, a web address and the header of a slide.
+EMAIL = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
+URL = r"\b(?:https?://|www\.)"
+HEADER = r"\bprof\.|professor|p[áa]gin|slide"
+# What may follow the first digit of a line of figures.
+FIGURES = r"\d\s.,:/%–—-"
 
 
 def has_email(line: Column) -> Column:
-    return line.rlike(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}")
+    return line.rlike(EMAIL)
 
 
 def has_url(line: Column) -> Column:
-    return line.rlike(r"(?i)\b(?:https?://|www\.)")
+    return line.rlike(f"(?i){URL}")
 
 
 def is_numeric(line: Column) -> Column:
-    return line.rlike(r"^[0-9\s.,;:/-]+$")
+    """A digit, and after it nothing but digits, white space and the marks of page, time, share and range."""
+    return line.rlike(rf"^\d[{FIGURES}]*\z")
 
 
 def is_short_header(line: Column) -> Column:
     """Up to 60 characters that name a teacher, page or slide."""
-    return (F.length(line) <= 60) & line.rlike(r"(?i)\bprof\.|professor|p[áa]gin|slide")
+    return (F.length(line) <= 60) & line.rlike(f"(?iu){HEADER}")
 
 
 def text_ratio(line: Column) -> Column:

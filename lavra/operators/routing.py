@@ -19,6 +19,25 @@ def hard(label: Column, text: Column) -> Column:
     return F.when(F.coalesce(F.trim(text), F.lit("")) == "", "SIMPLES").otherwise(F.coalesce(label, F.lit("SIMPLES")))
 
 
+def answer_route(answer: Column) -> Column:
+    """COMPLEXA where a router's answer names it anywhere, whatever the case; SIMPLES else, also for a call that failed."""
+    return F.when(F.coalesce(F.upper(answer).contains("COMPLEXA"), F.lit(False)), "COMPLEXA").otherwise("SIMPLES")
+
+
+# Extensions of sound and of pictures.
+SOUND = ("wav", "mp3", "m4a", "ogg", "webm")
+PICTURES = ("png", "jpg", "jpeg", "webp")
+
+
+def input_status(file: Column, content: Column, text: Column) -> Column:
+    """Struct (status, tipo) of a request: 400 without or with both inputs or with an empty file, 415 for a file of no known kind, else 200."""
+    has_file, has_text = F.coalesce(file, F.lit("")) != "", F.coalesce(F.trim(text), F.lit("")) != ""
+    extension = F.lower(F.regexp_extract(file, r"([^.]*)$", 1))
+    kind = F.when(extension.isin(*SOUND), "audio").when(extension.isin(*PICTURES), "imagem")
+    status = F.when(has_file == has_text, 400).when(has_text, 200).when(kind.isNull(), 415).when(F.coalesce(F.length(content), F.lit(0)) == 0, 400).otherwise(200)
+    return F.struct(status.alias("status"), F.when(status == 200, F.when(has_text, "texto").otherwise(kind)).alias("tipo"))
+
+
 def with_fallback(primary: Column, secondary: Column) -> Column:
     """Struct (resposta, fallback, erros): the first answer that is not blank, else the mark of no answer."""
     first, second = F.nullif(F.trim(primary), F.lit("")), F.nullif(F.trim(secondary), F.lit(""))

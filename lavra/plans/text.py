@@ -122,19 +122,38 @@ def tts_normalize(spark, d):
     return _answers(spark, d).where("resposta IS NOT NULL").select("resposta_id", X.spoken(F.col("resposta")).alias("falada"))
 
 
-def verdict_parse(spark, d):
-    """Judge verdicts read from texts around a JSON object; the object is made of each event's own values."""
+def _judged(spark, d):
+    """Texts of a judge around the values of every event: a draft in braces, then the object, whose reason and details hold braces too."""
     e = table(spark, d, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
-    said = F.when(F.col("event_id") % 7 == 0, F.lit("não é json")).otherwise(F.concat(F.lit("Veredito {rascunho} "), F.to_json(F.struct((F.col("k") % 5 + 1).alias("nota"), (F.col("k") % 2 == 0).alias("correta"), (F.col("k") % 10 == 0).alias("alucinou"))), F.lit(" fim")))
-    v = e.select("event_id", X.verdict(said).alias("v"))
-    return v.select("event_id", F.col("v.nota").alias("nota"), F.col("v.correta").alias("correta"), F.col("v.alucinou").alias("alucinou"))
+    values = F.to_json(F.struct((F.col("k") % 5 + 1).alias("nota"), (F.col("k") % 2 == 0).alias("correta"), (F.col("k") % 10 == 0).alias("alucinou"), F.concat(F.lit("{"), F.col("event_type"), F.lit("} diz")).alias("justificativa"), F.struct(F.col("k").alias("peso")).alias("detalhe")))
+    return e.select("event_id", F.when(F.col("event_id") % 7 == 0, F.lit("não é json")).when(F.col("event_id") % 7 == 1, values).otherwise(F.concat(F.lit("Veredito {rascunho} "), values, F.lit(" fim"))).alias("dito"))
+
+
+def verdict_parse(spark, d):
+    """Judge verdicts read from texts around a JSON object that nests another and has braces in a string."""
+    v = _judged(spark, d).select("event_id", X.verdict(F.col("dito")).alias("v"))
+    return v.select("event_id", F.col("v.nota").alias("nota"), F.col("v.correta").alias("correta"), F.col("v.alucinou").alias("alucinou"), F.col("v.justificativa").alias("justificativa"))
+
+
+def greedy_parse(spark, d):
+    """What the greedy reader makes of the same texts: it fails where a draft in braces stands in front."""
+    v = _judged(spark, d).select("event_id", X.greedy_verdict(F.col("dito")).alias("v"))
+    return v.groupBy(F.col("v.nota").isNotNull().alias("lido")).agg(F.count("*").alias("textos"))
+
+
+def array_parse(spark, d):
+    """Question and answer lists as a model writes them, fenced and with commas too many, read back: rows and characters by origin."""
+    rows = table(spark, d, "dataset_sintetico_v05b").where("pergunta IS NOT NULL")
+    said = F.concat(F.lit("Aqui está:\n```json\n["), F.to_json(F.struct(F.col("pergunta").alias("q"), F.col("resposta").alias("a"))), F.lit(",]\n```"))
+    read = rows.select("origem", F.explode(X.first_array(said, "q:string,a:string")).alias("x"))
+    return read.groupBy("origem").agg(F.count("*").alias("pares"), F.sum(F.length("x.q")).alias("caracteres"))
 
 
 QUERIES = {
     "page_clean": page_clean, "line_reject_reasons": line_reject_reasons, "letter_spaced_pages": letter_spaced_pages, "doc_titles": doc_titles,
     "token_counts": token_counts, "term_frequencies": term_frequencies, "query_tokens": query_tokens, "question_keys": question_keys, "slugify": slugify, "typo_variants": typo_variants,
     "question_filter": question_filter, "options": options, "fingerprints": fingerprints,
-    "abstention_flags": abstention_flags, "citation_extract": citation_extract, "citation_renumber": citation_renumber, "tts_normalize": tts_normalize, "verdict_parse": verdict_parse,
+    "abstention_flags": abstention_flags, "citation_extract": citation_extract, "citation_renumber": citation_renumber, "tts_normalize": tts_normalize, "verdict_parse": verdict_parse, "greedy_parse": greedy_parse, "array_parse": array_parse,
 }
 
 # SQL of the shared pieces, in DuckDB's dialect.
@@ -157,10 +176,10 @@ _SUM = "coalesce(list_sum(list_transform({0}, lambda w: length(w))), 0)"
 def _reason(line: str) -> str:
     w = _WORDS.format(line)
     return rf"""CASE WHEN length({line}) < 3 THEN 'curta'
- WHEN regexp_matches({line}, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}') THEN 'email'
- WHEN regexp_matches({line}, '(?i)\b(?:https?://|www\.)') THEN 'url'
- WHEN regexp_matches({line}, '^[0-9\s.,;:/-]+$') THEN 'numerica'
- WHEN length({line}) <= 60 AND regexp_matches({line}, '(?i)\bprof\.|professor|p[áa]gin|slide') THEN 'cabecalho'
+ WHEN regexp_matches({line}, '{Q.EMAIL}') THEN 'email'
+ WHEN regexp_matches({line}, '(?i){Q.URL}') THEN 'url'
+ WHEN regexp_matches({line}, '^[0-9]') AND len(translate({line}, '0123456789 .,:/%–—-' || chr(9), '')) = 0 THEN 'numerica'
+ WHEN length({line}) <= 60 AND regexp_matches({line}, '(?i){Q.HEADER}') THEN 'cabecalho'
  WHEN regexp_matches({line}, '[\x01-\x08\x0b\x0c\x0e-\x1f]') THEN 'controle'
  WHEN {_RATIO.format(line)} < 0.70 THEN 'simbolos'
  WHEN len({w}) = 0 OR {_SUM.format(w)} > len({w}) * 20 OR (len({w}) >= 5 AND {_SUM.format(w)} < len({w}) * 3) THEN 'espacamento' END"""
@@ -176,11 +195,10 @@ _A = "(SELECT resposta_id, any_value(resposta) AS resposta, any_value(abstencao)
 _SLUG = "regexp_replace(substring(regexp_replace(regexp_replace(" + fold_sql("{0}") + ", '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 60), '_+$', '')"
 _STEM = r"regexp_replace(arquivo, '\.[A-Za-z0-9]+$', '')"
 _BODY = r"array_to_string(list_filter(string_split(resposta, chr(10)), lambda l: NOT regexp_matches(trim(l), '^\[\d+\]\s+[A-Za-z0-9_.-]*\.(pdf)\b')), chr(10))"
-_SPOKEN = r"regexp_replace(resposta, '(?m)^\s*\[\d+\]\s+[\w.\-]+\.pdf.*$', ' ', 'g')"
-_SPOKEN = rf"regexp_replace({_SPOKEN}, '\[\d+\]', ' ', 'g')"
-_SPOKEN = rf"regexp_replace({_SPOKEN}, 'https?://\S+|www\.\S+|[\w.+-]+@[\w.-]+\.[A-Za-z]{{2,}}', ' ', 'g')"
-_SPOKEN = rf"regexp_replace({_SPOKEN}, '[\x01-\x1f*_#`>|]', ' ', 'g')"
-_SPOKEN = r"regexp_replace(trim(" + _SQUEEZE.format(_SPOKEN) + r"), ' +([.,;:!?])', '\1', 'g')"
+_READ = "array_to_string(list_filter(string_split(resposta, chr(10)), lambda l: NOT regexp_matches(trim(l), '^\\[\\d+\\]\\s+[A-Za-z0-9_.-]*\\.pdf\\b')), ' ')"
+_SPOKEN = "regexp_replace(trim(" + _SQUEEZE.format(f"regexp_replace({_READ}, '{'|'.join(X.UNSPOKEN)}', ' ', 'g')") + r"), '\s([.,;:!?])', '\1', 'g')"
+_COURSE = "(?i)^(?:" + "|".join(X.COURSES) + ")+"
+_COPY = "(?i)^(?:" + "|".join(X.COPY_MARKS) + r")\s+"
 
 ORACLES = {
     "page_clean": f"SELECT doc_id, array_to_string(list_filter({_LINES}, lambda l: ({_reason('l')}) IS NULL), chr(10)) AS limpo FROM documents WHERE text IS NOT NULL",
@@ -194,7 +212,8 @@ FROM (SELECT tipo, {_WORDS.format('texto')} AS w, {_RATIO.format('texto')} AS r
     "question_keys": f"""SELECT id, trim({_SQUEEZE.format(fold_sql('pergunta'))}) AS roteador, {_SCAN.format('pergunta')} AS digitalizado, regexp_replace(lower(pergunta), '[^a-z0-9]', '', 'g') AS duplicata,
  array_to_string(list_sort(list_distinct(regexp_extract_all(lower(pergunta), '[a-z0-9]{{3,}}'))), ' ') AS palavras,
  array_to_string(list_transform(regexp_extract_all({_SCAN.format('pergunta')}, '[a-z0-9]{{2,}}'), lambda t: regexp_replace(t, '^(.{{3,}})s$', '\\1')), ' ') AS lemas FROM {_Q}""",
-    "slugify": f"""SELECT arquivo, coalesce(nullif({_SLUG.format("regexp_replace(trim(regexp_replace(" + _STEM + ", '\\s*\\([0-9]+\\)\\s*$|_\\d+$', '')), '(?i)^\\s*(c[oó]pia\\s*de|copy\\s*of|com_copia)\\s+', '')")}, ''), {_SLUG.format(_STEM)}) AS slug FROM manifesto_corpus""",
+    "slugify": f"""WITH s AS (SELECT arquivo, {_STEM} AS stem FROM manifesto_corpus), c AS (SELECT arquivo, stem, ltrim(regexp_replace(trim(regexp_replace(stem, '{X.VERSION}', '')), '{_COURSE}', '')) AS t FROM s)
+SELECT arquivo, coalesce(nullif({_SLUG.format("ltrim(regexp_replace(t, '" + _COPY + "', ''))")}, ''), {_SLUG.format('stem')}) AS slug FROM c""",
     "typo_variants": f"""SELECT id, t AS sem_acento, replace(t, 'para que serve', 'pra que serve') AS coloquial, t[:h] || t[h + 2:] AS sem_meio, CASE WHEN h + 1 >= length(t) THEN t[:h] || t[h + 2:] ELSE t[:h] || t[h + 2:h + 2] || t[h + 1:h + 1] || t[h + 3:] END AS meio_trocado
 FROM (SELECT id, strip_accents(pergunta) AS t, {_HALF} AS h FROM {_Q})""",
     "question_filter": f"SELECT id, length(pergunta) BETWEEN 12 AND 240 AND contains(pergunta, '?') AS valida, regexp_matches({_SCAN.format('pergunta')}, '\\bnao\\b') AS negativa FROM {_Q}",
@@ -203,13 +222,15 @@ FROM (SELECT id, strip_accents(pergunta) AS t, {_HALF} AS h FROM {_Q})""",
     "abstention_flags": f"""SELECT coalesce(abstencao, false) AS registrada, coalesce({_ABSTAIN}, false) AS qualquer, coalesce(regexp_matches({fold_sql('trim(resposta)')}, '^(nao_sei|nao sei)') OR contains(substring({fold_sql('trim(resposta)')}, 1, 60), 'nao ha informacoes'), false) AS inicio,
  coalesce(contains(upper(resposta), 'NAO_SEI'), false) AS marca, count(*) AS respostas FROM {_A} GROUP BY 1, 2, 3, 4""",
     "citation_extract": f"SELECT resposta_id, len(c) AS marcas, len(list_distinct(c)) AS distintas, list_max(c) AS maior FROM (SELECT resposta_id, list_transform(regexp_extract_all(resposta, '\\[(\\d{{1,9}})\\]', 1), lambda n: n::INT) AS c FROM {_A}) WHERE len(c) > 0",
-    "tts_normalize": f"SELECT resposta_id, CASE WHEN regexp_matches({_SQUEEZE.format('translate(' + fold_sql('trim(resposta)') + chr(44) + chr(32) + chr(39) + '_-' + chr(39) + chr(44) + chr(32) + chr(39) + '  ' + chr(39) + ')')}, '^nao sei[.!]?$') THEN 'Não sei responder com base nos materiais do curso.' ELSE {_SPOKEN} END AS falada FROM {_A} WHERE resposta IS NOT NULL",
+    "tts_normalize": f"SELECT resposta_id, CASE WHEN " + _SQUEEZE.format("translate(" + fold_sql("trim(resposta)") + ", '_-', '  ')") + f" IN ('nao sei', 'nao sei.', 'nao sei!') THEN '{X.NO_ANSWER}' ELSE {_SPOKEN} END AS falada FROM {_A} WHERE resposta IS NOT NULL",
     "citation_renumber": rf"""
 WITH a AS (SELECT resposta_id, {_BODY} AS corpo, coalesce(len(referencias), 0) AS n FROM {_A} WHERE resposta IS NOT NULL),
 m AS (SELECT resposta_id, corpo, list_filter(list_transform(regexp_extract_all(corpo, '\[(\d{{1,9}})\]', 1), lambda x: x::INT), lambda x: x BETWEEN 1 AND n) AS marcas FROM a),
 o AS (SELECT resposta_id, corpo, list_filter(marcas, lambda x, i: list_position(marcas, x) = i) AS marcas FROM m),
 p AS (SELECT resposta_id, marcas, list_reduce(list_prepend(regexp_replace(corpo, '\[(\d{{1,9}})\]', chr(1) || '\1' || chr(2), 'g'), list_transform(marcas, lambda x: x::VARCHAR)), lambda t, x: replace(t, chr(1) || x || chr(2), '[' || list_position(marcas, x::INT)::VARCHAR || ']')) AS t FROM o)
 SELECT resposta_id, trim(regexp_replace(regexp_replace(t, chr(1) || '\d+' || chr(2), '', 'g'), '[ \t]{{2,}}', ' ', 'g')) AS texto, array_to_string(marcas, ',') AS marcas FROM p""",
-    "verdict_parse": """SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN k % 5 + 1 END AS nota, CASE WHEN event_id % 7 <> 0 THEN k % 2 = 0 END AS correta, CASE WHEN event_id % 7 <> 0 THEN k % 10 = 0 END AS alucinou
-FROM (SELECT event_id, (props::JSON->>'k')::INT AS k FROM events)""",
+    "verdict_parse": """SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN k % 5 + 1 END AS nota, CASE WHEN event_id % 7 <> 0 THEN k % 2 = 0 END AS correta, CASE WHEN event_id % 7 <> 0 THEN k % 10 = 0 END AS alucinou,
+ CASE WHEN event_id % 7 <> 0 THEN '{' || event_type || '} diz' END AS justificativa FROM (SELECT event_id, event_type, (props::JSON->>'k')::INT AS k FROM events)""",
+    "greedy_parse": "SELECT event_id % 7 = 1 AS lido, count(*) AS textos FROM events GROUP BY 1",
+    "array_parse": "SELECT origem, count(*) AS pares, sum(length(pergunta))::BIGINT AS caracteres FROM dataset_sintetico_v05b WHERE pergunta IS NOT NULL GROUP BY 1",
 }

@@ -1,7 +1,8 @@
 """Cutting lineage so that a lost executor costs a re-read, not a re-run.
 
-``spark.checkpoint.dir`` names the folder that all executors share. Where the
-session has none (tests, a notebook), a folder of this machine is taken.
+``spark.checkpoint.dir`` names the folder that all executors share. Only a
+session whose executors are threads of this process may go without it (tests, a
+notebook): there a folder of this machine is shared by all.
 """
 
 from __future__ import annotations
@@ -12,16 +13,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder, or a local one where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The cluster's shared folder; without one, a folder of this machine in a local session, an error on a cluster."""
     context = spark.sparkContext
+    current = context._jsc.sc().getCheckpointDir()
+    if current.isDefined():
+        return current.get()
+    named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        current = context._jsc.sc().getCheckpointDir()
-        if current.isDefined():
-            return current.get()
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="spark-lavra-")
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(named)
+    context.setCheckpointDir(named)
     return named
 
 
