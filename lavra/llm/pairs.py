@@ -38,9 +38,10 @@ REFUSALS = (
 class Settings:
     """``sample`` bounds the labelled texts of a language that the Bayes model is trained on.
 
-    Languages are compared from ``words`` words on, and taken as different where
-    the answer's own language is ahead of the question's by ``ahead`` nats, the
-    question's of the answer's by ``question_ahead``.
+    Languages are taken as different where the answer's own language is ahead of
+    the question's by ``ahead`` nats, the question's of the answer's by
+    ``question_ahead``; if either has n < ``words`` words, by ``words`` / n times as
+    much, as a term of another language tells little.
     """
 
     orders: tuple[int, ...] = (1, 2, 3, 4)
@@ -63,7 +64,8 @@ class NaiveBayes:
         counts = np.full((size, len(self.languages)), 0.5)
         for bucket, owner in self._grams(texts):
             np.add.at(counts, (bucket, label[owner]), 1)
-        self.weights = (np.log(counts) - np.log(counts.sum(axis=0))).astype(np.float32)
+        # A row a language: its gathers stay in a core's cache.
+        self.weights = np.ascontiguousarray((np.log(counts) - np.log(counts.sum(axis=0))).T)
 
     def _grams(self, texts: list[str]):
         points, owner = codes(texts)
@@ -75,8 +77,10 @@ class NaiveBayes:
         plain = [letters_only(t or "") for t in texts]
         total = np.zeros((len(texts), len(self.languages)))
         for bucket, owner in self._grams(plain):
-            for k in range(len(self.languages)):
-                total[:, k] += np.bincount(owner, weights=self.weights[bucket, k], minlength=len(texts))
+            if len(owner):
+                starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+                for k, weights in enumerate(self.weights):
+                    total[owner[starts], k] += np.add.reduceat(weights[bucket], starts)
         # Overlapping n-grams repeat the same evidence once for every order.
         return total / len(self.settings.orders)
 
@@ -120,14 +124,15 @@ def is_copy(question: Column, answer: Column) -> Column:
     return (F.size(q) > 2) & (F.size(new) == 0) & (F.size(gone) * 10 <= F.size(q)) & (F.size(a) <= F.size(q) + 4)
 
 
-_COMPARED = "id bigint, lingua_pergunta string, lingua_resposta string, adiante_pergunta double, adiante_resposta double"
+_COMPARED = "id bigint, lingua_pergunta string, lingua_resposta string, adiante_pergunta double, adiante_resposta double, palavras int"
 
 
 def languages(pairs: DataFrame, model: NaiveBayes, *, id: str = "id", question: str = "pergunta", answer: str = "resposta") -> DataFrame:
     """Most likely language of question and answer.
 
     ``adiante_resposta`` is by how much the answer's language is likelier for the
-    answer than the question's language is; ``adiante_pergunta`` the other way round.
+    answer than the question's language is; ``adiante_pergunta`` the other way round;
+    ``palavras`` the words of the shorter of both.
     """
     rows = pairs.where(F.col(question).isNotNull() & F.col(answer).isNotNull()).select(F.col(id).cast("bigint").alias("id"), F.col(question).alias("q"), F.col(answer).alias("a"))
     slots = pairs.sparkSession.sparkContext.defaultParallelism
@@ -142,7 +147,7 @@ def languages(pairs: DataFrame, model: NaiveBayes, *, id: str = "id", question:
         for batch in batches:
             q, a = m.log_likelihoods(batch["q"].tolist()), m.log_likelihoods(batch["a"].tolist())
             i, k, n = q.argmax(axis=1), a.argmax(axis=1), np.arange(len(batch))
-            yield pd.DataFrame({"id": batch["id"], "lingua_pergunta": names[i], "lingua_resposta": names[k], "adiante_pergunta": q[n, i] - q[n, k], "adiante_resposta": a[n, k] - a[n, i]})
+            yield pd.DataFrame({"id": batch["id"], "lingua_pergunta": names[i], "lingua_resposta": names[k], "adiante_pergunta": q[n, i] - q[n, k], "adiante_resposta": a[n, k] - a[n, i], "palavras": [min(len(letters_only(x).split()), len(letters_only(y).split())) for x, y in zip(batch["q"], batch["a"])]})
 
     return rows.mapInPandas(run, _COMPARED)
 
@@ -169,6 +174,6 @@ def defects(pairs: DataFrame, model: NaiveBayes, *, id: str = "id", question: st
     full = rows.where(~empty)
     texts = full.select(F.lit("pares").alias("tabela"), F.col("id").alias("registro"), F.col("s").alias("fonte"), F.col("a").alias("texto"), F.col("q").alias("pergunta"))
     cut = end_likelihoods(texts).where("cortado").select(F.col("registro").alias("id"), F.lit("truncada").alias("defeito"))
-    long = full.where((F.size(_bag(F.col("a"))) >= settings.words) & (F.size(_bag(F.col("q"))) >= settings.words))
-    other = languages(long, model, question="q", answer="a").where((F.col("adiante_resposta") >= settings.ahead) & (F.col("adiante_pergunta") >= settings.question_ahead)).select("id", F.lit("idioma").alias("defeito"))
+    factor = F.greatest(F.lit(1.0), F.lit(float(settings.words)) / F.greatest(F.col("palavras"), F.lit(1)))
+    other = languages(full, model, question="q", answer="a").where((F.col("adiante_resposta") >= settings.ahead * factor) & (F.col("adiante_pergunta") >= settings.question_ahead * factor)).select("id", F.lit("idioma").alias("defeito"))
     return plain.unionByName(cut).unionByName(other).distinct()

@@ -1,11 +1,13 @@
 """Texts cut off by field limits or in transfer, found by SQL alone.
 
-Word trigrams are counted inside texts and at the ends of their sentences. A
-text that ends without a mark of its end (full stop, list item, code, number) is
-cut when its last trigram is frequent inside texts but almost never stands at an
-end, or is not known at all, as when the last word is only the front of one.
-Where a last trigram stands at ends now and then, the endings of the same source
-and length decide.
+Texts are read as words and single signs. Trigrams of them are counted inside
+texts and at ends, those of sentences, lines and texts alike. A text is cut when
+its last trigram is frequent inside texts but almost never stands at an end, or
+is not known at all, as when the last word is only the front of one. Every end
+meets the counts, whatever it ends with: a stop, a comma, a figure, a list item.
+Where a last trigram stands at ends now and then, dots after it, or the endings
+of the same source, length and form, decide:
+it is cut where most of those without a stop are clear cuts.
 """
 
 from __future__ import annotations
@@ -22,108 +24,155 @@ from lavra.sources.durable import cut
 class Settings:
     """Shares of its occurrences at which a trigram stands at ends: up to ``never`` it ends nothing, from ``often`` on it ends texts.
 
-    ``lean`` is the weight, in occurrences, of the last word's share in that of its trigram.
-    ``short`` words or fewer are a whole answer. ``band`` is the width in
+    ``lean`` is the weight, in occurrences, of the share of the last two words in
+    that of their trigram, and of the last word's in that of the two; ``unseen``
+    the share of a last word that stands nowhere else. Unless the last word is
+    such, its last two must stand ``frequent`` times elsewhere to tell. ``band`` is the width in
     characters of the length bands in which a source's endings are compared.
     """
 
     never: float = 0.05
     often: float = 0.6
+    frequent: int = 3
     lean: float = 5.0
-    short: int = 4
+    unseen: float = 0.01
     band: int = 40
 
 
-# Heads of a reference list, marks of a list item, ends of code and figures.
-_REFERENCES = r"(?is)\\n\\s*(refer[êe]ncias?|references|fontes|referenci\\w*|r[eê]f\\w*)\\s*:?\\s*(\\n.*)?$|\\n\\s*\\n\\s*r\\w{0,9}:?\\s*$"
-_CITATIONS = r"(\\s*\\[\\d+\\])+\\s*$"
-_DOTS = r"\\s*(\\.{2,}|…)\\s*$"
-_STOP = r"[.!?][\"”»)\\x27]*$"
-_ITEM = r"^\\s*([-*•]|\\d+[.)])\\s"
-_OPEN = r"[,(–—]$"
-_FIGURE = r"[\\p{N})\\]};]$|:$"
-_WORD = r"[\\p{L}\\p{N}_\\x27-]+"
+# Heads of a reference list, citation marks, dots that stand for what is left out.
+REFERENCES = r"(?is)\n\s*(refer[eêÊ]ncias?|references|fontes|referenci\w*|r[eêÊ]f\w*)\s*:?\s*(\n.*)?\z|\n\s*\n\s*r\w{0,9}:?\s*\z"
+CITATION = r"\s*\[\d+\]"
+LAST_CITATIONS = r"(\s*\[\d+\])*\s*\z"
+LAST_DOTS = r"(\s*(\.{2,}|…))+\z"
+# Where a sentence or line ends; its parts beside the end are put back.
+BOUNDARY = r"([.!?][\"”»)']*)\s+([^\p{Ll}\s])|[ \t]*\n\s*([^\p{Ll}\s])|([:;.!?])[ \t]*\n\s*(\p{Ll})|(\p{Ll}[.!?])(\p{Lu})"
+TOKEN = r"[a-z0-9_'\p{L}\p{M}\p{N}\x{FFFD}-]+|[^\s]"
+LETTER = r"[\p{L}\x{FFFD}]"
+# A last line that is a list item, and a text of several sentences or lines.
+LIST_LINE = r"(^|\n)[ \t]*([-*•]|\d+[.)])[ \t][^\n]*\z"
+SEVERAL = r"[.!?][\"”»)']*\s+[^\p{Ll}\s]|\n"
+#: Stand for the end, or the beginning, of a sentence or line, and for the end of a text.
+END, LAST = "⏎", "⏏"
+#: Signs that end a sentence, and signs that nothing ends with.
+STOPS, OPEN = (".", "!", "?"), (",", "(", "–", "—")
+#: Marks of list items, after all but the dash are made one.
+ITEMS = ("-", "•")
 
 
-def ends_sql(texts: str, short: int) -> str:
-    """SQL of the end of every text of (tabela, registro, fonte, texto, pergunta), and its kind."""
-    return f"""
-WITH textos AS (
-  SELECT tabela, registro, min(fonte) AS fonte, min(texto) AS texto, min(pergunta) AS pergunta FROM {texts}
-  WHERE registro IS NOT NULL AND texto IS NOT NULL AND trim(regexp_replace(texto, '\\\\s+', ' ')) <> '' GROUP BY tabela, registro),
-corpos AS (
-  SELECT tabela, registro, fonte, pergunta, length(texto) AS tamanho, regexp_replace(rtrim(regexp_replace(regexp_replace(texto, '{_REFERENCES}', ''), '\\\\s+$', '')), '{_CITATIONS}', '') AS corpo FROM textos),
-fins AS (
-  SELECT tabela, registro, fonte, pergunta, tamanho, corpo RLIKE '{_DOTS}' AS reticencias, regexp_replace(corpo, '{_DOTS}', '') AS fim FROM corpos),
-tipos AS (
-  SELECT *, element_at(split(fim, '\\\\n'), -1) AS linha, size(regexp_extract_all(fim, '{_WORD}', 0)) AS palavras,
-    regexp_replace(lower(fim), '[^\\\\p{{L}}\\\\p{{N}}]+', '') AS liso, regexp_replace(lower(coalesce(pergunta, '')), '[^\\\\p{{L}}\\\\p{{N}}]+', '') AS pergunta_lisa FROM fins)
-SELECT tabela, registro, fonte, tamanho, fim, regexp_extract_all(lower(linha), '{_WORD}', 0) AS p, CASE
-    WHEN palavras = 0 THEN 'vazio'
-    WHEN reticencias THEN 'reticencias'
-    WHEN fim RLIKE '{_OPEN}' THEN 'virgula'
-    WHEN fim RLIKE '{_STOP}' THEN 'ponto'
-    WHEN linha RLIKE '{_ITEM}' THEN 'item'
-    WHEN linha RLIKE '{_FIGURE}' THEN 'figura'
-    WHEN palavras <= {short} THEN 'curto'
-    WHEN liso = pergunta_lisa THEN 'pergunta'
-    ELSE 'aberto' END AS classe FROM tipos"""
-
-
-def trigrams_sql(ends: str, short: int) -> str:
-    """SQL of the trigrams of the distinct texts: occurrences, and those at ends.
-
-    Ends are those that a stop marks, and those of whole short answers; an open
-    end may be a cut and counts as none.
+def _spark(pattern: str) -> str:
+    """A pattern as a string literal of Spark's SQL."""
+    return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _tokens(text: str) -> str:
+    """SQL expression of the words and signs of a text, between marks of ends; figures are all one."""
+    for pattern, by in ((f"{CITATION}|{LAST_DOTS}", ""), (BOUNDARY, f"$1$4$6 {END}{END} $2$3$5$7"), ("[0-9]+", "0")):
+        text = f"regexp_replace({text}, {_spark(pattern)}, '{by}')"
+    return f"concat(array('{END}', '{END}', '{END}'), regexp_extract_all(translate(lower({text}), '*)', '••'), {_spark(TOKEN)}, 0), array('{LAST}', '{LAST}'))"
+
+
+def bodies_sql(texts: str) -> str:
+    """SQL of (d, corpo) of every different text: its digest, and the text without references and citations at its end."""
+    return f"""SELECT md5(texto) AS d, regexp_replace(regexp_replace(texto, {_spark(REFERENCES)}, ''), {_spark(LAST_CITATIONS)}, '') AS corpo
+FROM (SELECT DISTINCT texto FROM (SELECT explode(array(texto, pergunta)) AS texto FROM {texts}) WHERE texto RLIKE {_spark(chr(92) + "S")})"""
+
+
+def _keys(a: str, b: str, c: str) -> str:
+    """Hashes of three words, of the last two and of the last; two that begin a list item are two of their own kind."""
+    item = f"{a} IN {ITEMS}"
+    return f"xxhash64({a}, {b}, {c}) AS abc, xxhash64({b}, {c}, {item}) AS bc, xxhash64({c}) AS c"
+
+
+def trigrams_sql(texts: str) -> str:
+    """SQL of (abc, bc, c, n, f): how often each trigram stands in the different texts, and how often at ends.
+
+    The end of a text counts as one where no letter stands last; after a letter it
+    may be a cut and counts for nothing. Trigrams are grouped by their hashes.
     """
     return f"""
-WITH frases AS (
-  SELECT regexp_extract_all(lower(frase), '{_WORD}', 0) AS p, (frase RLIKE '{_STOP}' AND NOT frase RLIKE '{_DOTS}') OR (quantas = 1 AND size(regexp_extract_all(frase, '{_WORD}', 0)) <= {short}) AS termina
-  FROM (
-    SELECT size(lista) AS quantas, lista FROM (
-      SELECT split(regexp_replace(fim, '\\\\s*\\\\[\\\\d+\\\\]', ''), '(?<=[.!?])\\\\s+|\\\\n+') AS lista FROM (SELECT DISTINCT fim FROM {ends})))
-  LATERAL VIEW explode(lista) AS frase)
-SELECT t.a, t.b, t.c, count(*) AS dentro, count_if(t.fim AND termina) AS ao_fim
-FROM frases LATERAL VIEW explode(CASE WHEN size(p) >= 3 THEN transform(sequence(1, size(p) - 2), i -> named_struct('a', p[i - 1], 'b', p[i], 'c', p[i + 1], 'fim', i = size(p) - 2)) END) AS t
-GROUP BY t.a, t.b, t.c"""
-
-
-def _stored(texts: DataFrame, settings: Settings) -> tuple[str, str]:
-    """Views of the ends and trigrams of all texts, made once and stored, as several branches read them."""
-    spark, name = texts.sparkSession, uuid.uuid4().hex
-    texts.createOrReplaceTempView(f"textos_{name}")
-    cut(spark.sql(ends_sql(f"textos_{name}", settings.short))).createOrReplaceTempView(f"fins_{name}")
-    cut(spark.sql(trigrams_sql(f"fins_{name}", settings.short))).createOrReplaceTempView(f"trigramas_{name}")
-    return f"fins_{name}", f"trigramas_{name}"
-
-
-def verdict_sql(ends: str, trigrams: str, settings: Settings = Settings()) -> str:
-    """SQL of every text's end: kind, share at which its last trigram stands at ends, and whether it is cut.
-
-    The share of a rare trigram leans on that of its last word: the front of a
-    word never ends anything, a noun now and then does.
+SELECT {_keys("a", "b", "c")}, count(*) AS n, count_if(y IN ('{END}', '{LAST}') OR (y IN {STOPS} AND z IN ('{END}', '{LAST}'))) AS f
+FROM (SELECT {_tokens("corpo")} AS p FROM ({bodies_sql(texts)})) LATERAL VIEW inline(arrays_zip(slice(p, 1, size(p) - 4), slice(p, 2, size(p) - 4), slice(p, 3, size(p) - 4), slice(p, 4, size(p) - 4), slice(p, 5, size(p) - 4))) AS a, b, c, y, z
+WHERE c <> '{END}' AND NOT (y = '{LAST}' AND c RLIKE {_spark(LETTER)}) GROUP BY 1, 2, 3"""
+
+
+def ends_sql(texts: str) -> str:
+    """SQL of the end of every different text: digests of the text and of its words, form, what its last word says by itself, and the hashes of its last words."""
+    a, b, c = (f"element_at(p, -{k})" for k in (5, 4, 3))
+    short = f"{a} IN {ITEMS} OR {b} IN {ITEMS} OR ({a} = '{END}' AND forma = 'frase')"
+    # The last words of a long text are read off its tail; where that holds few, whole.
+    return f"""
+SELECT d, md5(lower(trim(regexp_replace(corpo, '[.!?]$', '')))) AS dn, corpo RLIKE {_spark(LAST_DOTS)} AS reticencias, forma, corpo RLIKE {_spark("[" + chr(92) + "p{L}" + chr(92) + "p{N}]")} AS dito, {c} RLIKE {_spark(LETTER)} AS aberto, {short} AS curto,
+  CASE WHEN {c} IN {STOPS} THEN 'fim' WHEN {c} IN {OPEN} THEN 'meio' WHEN {short} OR NOT {c} RLIKE {_spark(LETTER)} THEN 'nada' ELSE 'meio' END AS diz, {_keys(a, b, c)}
+FROM (
+  SELECT d, corpo, CASE WHEN corpo RLIKE {_spark(LIST_LINE)} THEN 'lista' WHEN corpo RLIKE {_spark(SEVERAL)} THEN 'texto' ELSE 'frase' END AS forma, if(length(corpo) > 160 AND size(t) >= 13, t, {_tokens("corpo")}) AS p
+  FROM (SELECT d, corpo, {_tokens("right(corpo, 160)")} AS t FROM ({bodies_sql(texts)})))"""
+
+
+def measured_sql(texts: str, ends: str, trigrams: str, share: str) -> str:
+    """SQL of every record's end with its ``share``: an expression of how often its last trigram, two words and word stand anywhere (n3, n2, n1) and at ends (f3, f2, f1), its own end left out.
+
+    ``outros`` is how many other records give or ask the same, with or without a
+    stop but not with dots. Records are joined to the counts of the different ends
+    only, so that a usual last word is one row there.
     """
     return f"""
-WITH classes AS (SELECT * FROM {ends}),
-trigramas AS (SELECT * FROM {trigrams}),
-finais AS (SELECT c, sum(dentro) AS dentro, sum(ao_fim) AS ao_fim FROM trigramas GROUP BY c),
-medidos AS (
-  SELECT c.tabela, c.registro, c.fonte, c.classe, c.tamanho, CAST(c.tamanho / {settings.band} AS BIGINT) AS faixa,
-    coalesce(t.dentro, 0) - 1 AS dentro, least(1.0, (coalesce(t.ao_fim, 0) + {settings.lean} * coalesce(u.ao_fim / nullif(u.dentro - 1, 0), 0)) / (greatest(coalesce(t.dentro, 0) - 1, 0) + {settings.lean})) AS parte
-  FROM (SELECT *, element_at(p, -3) AS a, element_at(p, -2) AS b, element_at(p, -1) AS c FROM classes WHERE classe = 'aberto' AND size(p) >= 3) c
-  LEFT JOIN trigramas t ON t.a = c.a AND t.b = c.b AND t.c = c.c
-  LEFT JOIN finais u ON u.c = c.c
-  UNION ALL
-  SELECT tabela, registro, fonte, classe, tamanho, CAST(tamanho / {settings.band} AS BIGINT), 0, CASE WHEN classe IN ('reticencias', 'virgula', 'aberto') THEN 0.0 ELSE 1.0 END FROM classes WHERE classe <> 'aberto' OR size(p) < 3),
-vizinhos AS (
-  SELECT tabela, fonte, faixa, count_if(parte <= {settings.never} AND dentro > 0) AS cortados, count_if(parte >= {settings.often}) AS inteiros
-  FROM medidos WHERE classe = 'aberto' GROUP BY tabela, fonte, faixa)
-SELECT m.tabela, m.registro, m.fonte, m.classe, CAST(m.tamanho AS BIGINT) AS tamanho, round(m.parte, 6) AS parte,
-  CASE WHEN m.parte <= {settings.never} THEN true
-    WHEN m.parte >= {settings.often} THEN false
-    ELSE coalesce(v.cortados, 0) > coalesce(v.inteiros, 0) END AS cortado
-FROM medidos m
-LEFT JOIN vizinhos v ON v.tabela = m.tabela AND v.fonte <=> m.fonte AND v.faixa = m.faixa"""
+WITH registros AS (
+  SELECT tabela, registro, x.d, x.fonte, x.tamanho FROM (
+    SELECT tabela, registro, min(named_struct('d', md5(texto), 'fonte', fonte, 'tamanho', CAST(length(texto) AS BIGINT))) AS x
+    FROM {texts} WHERE registro IS NOT NULL AND texto RLIKE {_spark(chr(92) + "S")} GROUP BY tabela, registro)),
+bigramas AS (SELECT bc, c, sum(n) AS n, sum(f) AS f FROM {trigrams} GROUP BY bc, c),
+unigramas AS (SELECT c, sum(n) AS n, sum(f) AS f FROM bigramas GROUP BY c),
+contados AS (
+  SELECT e.abc, coalesce(t.n, 0) - own AS n3, coalesce(t.f, 0) - own AS f3, coalesce(b.n, 0) - own AS n2, coalesce(b.f, 0) - own AS f2, coalesce(u.n, 0) - own AS n1, coalesce(u.f, 0) - own AS f1
+  FROM (SELECT DISTINCT abc, bc, c, if(aberto OR NOT dito, 0, 1) AS own FROM {ends}) e LEFT JOIN {trigrams} t ON t.abc = e.abc LEFT JOIN bigramas b ON b.bc = e.bc LEFT JOIN unigramas u ON u.c = e.c),
+ditos AS (SELECT d, count(*) AS vezes FROM (SELECT d FROM registros UNION ALL SELECT md5(pergunta) AS d FROM {texts}) GROUP BY d),
+iguais AS (SELECT dn, sum(vezes) - 1 AS outros FROM {ends} JOIN ditos USING (d) WHERE NOT reticencias GROUP BY dn)
+SELECT tabela, registro, fonte, tamanho, faixa, reticencias, forma, dito, aberto, curto, sabido, {share} AS parte
+FROM (
+  SELECT r.*, CAST(floor(r.tamanho / {{band}}) AS BIGINT) AS faixa, f.reticencias, f.forma, f.dito, f.aberto, f.curto, f.diz, k.*, n1 = 0 OR n2 >= {{frequent}} AS sabido, if(f.reticencias, 0, outros) AS outros
+  FROM registros r JOIN (SELECT * FROM {ends} LEFT JOIN iguais USING (dn)) f ON f.d = r.d JOIN contados k ON k.abc = f.abc)"""
+
+
+def _unseen(settings: Settings) -> str:
+    """Share at ends of a last word or sign by itself: a stop always ends; an unknown word does not, unless it is one of two words alone, or of two of a list item, which may be all there is to say."""
+    return f"CASE diz WHEN 'fim' THEN 1e0 WHEN 'meio' THEN {settings.unseen}e0 ELSE 0.5e0 END"
+
+
+def _clear(share: str, settings: Settings) -> str:
+    """Condition of a clear cut: the share is low and rests on the last two words; one that rests on less, or is of a list item or of two words alone, must be far lower."""
+    return f"({share} <= {settings.never} / 5 OR ({share} <= {settings.never} AND m.sabido AND NOT m.curto AND m.forma <> 'lista'))"
+
+
+def _share(lean: float, settings: Settings) -> str:
+    """Share at which a last trigram stands at ends; ``lean`` is the weight, in occurrences, of the share of the shorter n-gram in that of the longer."""
+    one = f"(f1 + {lean}e0 * {_unseen(settings)}) / (n1 + {lean}e0)"
+    two = f"(f2 + {lean}e0 * {one}) / (n2 + {lean}e0)"
+    return f"greatest(outros / (outros + 0.5e0), (f3 + {lean}e0 * {two}) / (n3 + {lean}e0))"
+
+
+def verdict_sql(measured: str, settings: Settings = Settings()) -> str:
+    """SQL of every text's end: share at which its last trigram stands at ends, and whether it is cut."""
+    return f"""
+WITH grupos AS (SELECT tabela, fonte, faixa, forma, count_if({_clear('parte', settings)}) * 2 > count(*) AS cortados FROM {measured} m WHERE aberto GROUP BY tabela, fonte, faixa, forma)
+SELECT m.tabela, m.registro, m.fonte, m.tamanho, m.reticencias, round(m.parte, 6) AS parte,
+  m.dito AND ({_clear('m.parte', settings)} OR (m.parte < {settings.often} AND (m.reticencias OR (m.aberto AND NOT m.curto AND coalesce(g.cortados, false))))) AS cortado
+FROM {measured} m LEFT JOIN grupos g ON g.tabela = m.tabela AND g.fonte <=> m.fonte AND g.faixa = m.faixa AND g.forma = m.forma"""
+
+
+def _judged(texts: DataFrame, lean: float, settings: Settings) -> DataFrame:
+    """Verdicts by shares that lean on shorter n-grams with ``lean``; what several branches read is made once and stored, and holds no text."""
+    spark, names = texts.sparkSession, [f"{kind}_{uuid.uuid4().hex}" for kind in ("textos", "fins", "trigramas", "medidos")]
+    text, ends, trigrams, measured = names
+    texts.createOrReplaceTempView(text)
+    try:
+        cut(spark.sql(ends_sql(text))).createOrReplaceTempView(ends)
+        cut(spark.sql(trigrams_sql(text))).createOrReplaceTempView(trigrams)
+        made = measured_sql(text, ends, trigrams, _share(lean, settings)).replace("{band}", str(settings.band)).replace("{frequent}", str(settings.frequent))
+        cut(spark.sql(made)).createOrReplaceTempView(measured)
+        return spark.sql(verdict_sql(measured, settings))
+    finally:
+        for name in names:
+            spark.catalog.dropTempView(name)
 
 
 def verdicts(texts: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -131,49 +180,21 @@ def verdicts(texts: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
     One row per (tabela, registro): records read twice count once. Null, empty
     and blank texts, and null ids, give no row; a null source is a source of its
-    own. ``pergunta`` may be null; a text that only repeats it is not cut. Whole
-    texts are counted, over all rows.
+    own. ``pergunta`` may be null; questions are counted as texts too, so that one
+    that only repeats its question is whole. A text without letter or digit is
+    not cut. Whole texts are counted, over all rows, equal ones once.
     """
-    return texts.sparkSession.sql(verdict_sql(*_stored(texts, settings), settings))
+    return _judged(texts, settings.lean, settings)
 
 
-def likelihood_sql(ends: str, trigrams: str, settings: Settings = Settings(), trust: float = 2.0, unseen: float = 0.01) -> str:
-    """SQL of the likelihood that a text ends after its last words, and whether it is cut.
+def end_likelihoods(texts: DataFrame, settings: Settings = Settings(), trust: float = 2.0) -> DataFrame:
+    """Likelihood (``chance``) that a text ends after its last words, and whether it is cut; inputs and nulls as in :func:`verdicts`.
 
     The share of a trigram's occurrences that stand at ends is smoothed with that
     of its last two words, and this with that of its last word; ``trust`` is the
-    weight of the shorter n-gram in occurrences, ``unseen`` the likelihood of an
-    end after a word that stands nowhere else. The text itself is left out of the
-    counts. Between ``never`` and ``often`` the endings of the same source and
-    length decide.
+    weight of the shorter n-gram in occurrences.
     """
-    return f"""
-WITH classes AS (SELECT * FROM {ends}),
-trigramas AS (SELECT * FROM {trigrams}),
-bigramas AS (SELECT b, c, sum(dentro) AS dentro, sum(ao_fim) AS ao_fim FROM trigramas GROUP BY b, c),
-unigramas AS (SELECT c, sum(dentro) AS dentro, sum(ao_fim) AS ao_fim FROM bigramas GROUP BY c),
-contados AS (
-  SELECT c.tabela, c.registro, c.fonte, CAST(c.tamanho / {settings.band} AS BIGINT) AS faixa,
-    greatest(coalesce(t.dentro, 0) - 1, 0) AS n3, coalesce(t.ao_fim, 0) AS f3, greatest(coalesce(d.dentro, 0) - 1, 0) AS n2, coalesce(d.ao_fim, 0) AS f2,
-    greatest(coalesce(u.dentro, 0) - 1, 0) AS n1, coalesce(u.ao_fim, 0) AS f1
-  FROM (SELECT *, try_element_at(p, -3) AS a, try_element_at(p, -2) AS b, try_element_at(p, -1) AS c FROM classes WHERE classe = 'aberto') c
-  LEFT JOIN trigramas t ON t.a = c.a AND t.b = c.b AND t.c = c.c
-  LEFT JOIN bigramas d ON d.b = c.b AND d.c = c.c
-  LEFT JOIN unigramas u ON u.c = c.c),
-medidos AS (
-  SELECT *, (f3 + {trust} * (f2 + {trust} * (f1 + {trust} * {unseen}) / (n1 + {trust})) / (n2 + {trust})) / (n3 + {trust}) AS chance FROM contados),
-vizinhos AS (
-  SELECT tabela, fonte, faixa, count_if(chance <= {settings.never} AND n2 > 0) AS cortados, count_if(chance >= {settings.often}) AS inteiros
-  FROM medidos GROUP BY tabela, fonte, faixa)
-SELECT m.tabela, m.registro, round(m.chance, 6) AS chance, m.chance <= {settings.never} OR (m.chance < {settings.often} AND v.cortados > v.inteiros) AS cortado
-FROM medidos m JOIN vizinhos v ON v.tabela = m.tabela AND v.fonte <=> m.fonte AND v.faixa = m.faixa
-UNION ALL
-SELECT tabela, registro, 0.0, true FROM classes WHERE classe IN ('reticencias', 'virgula')"""
-
-
-def end_likelihoods(texts: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Likelihood of the end of every text without a mark of its end; inputs and nulls as in :func:`verdicts`."""
-    return texts.sparkSession.sql(likelihood_sql(*_stored(texts, settings), settings))
+    return _judged(texts, trust, settings).select("tabela", "registro", "parte", "cortado").withColumnRenamed("parte", "chance")
 
 
 def rates(verdicts_: DataFrame) -> DataFrame:

@@ -25,3 +25,12 @@ def test_ends(spark):
 def test_empty(spark):
     assert cut(spark, [])[0] == set()
     assert cut(spark, [("t", 1, "a", "palavra " * 50000 + "fim.", None)])[0] == set()
+
+
+def test_every_end_is_counted(spark):
+    whole = [("t", 100 + k, "web", f"O modelo {k} mede o corpus em 7 por cento dos casos. A rede guarda os pesos com margem estreita.\n- o corpus\n- a rede de pesos\n- a margem", None) for k in range(40)]
+    rows = [
+        ("t", 1, "web", "A rede guarda os pesos. O modelo mede o corpus em 7", None), ("t", 2, "web", "Veja:\n- o corpus\n- a rede de", None), ("t", 3, "web", "A rede guarda o", None),
+        ("t", 4, "web", "Veja:\n- o corpus\n- a margem", None), ("t", 5, "web", "Sim", None), ("t", 6, "web", "O modelo mede o corpus (", None), ("t", 7, None, "O modelo mede o corpus em 7 por cento dos casos", None),
+    ]
+    assert cut(spark, rows + whole)[0] == {("t", 1), ("t", 2), ("t", 3), ("t", 6)}
