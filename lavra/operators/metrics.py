@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def confusion(rows: DataFrame, group: Column) -> DataFrame:
@@ -49,22 +47,17 @@ def ece_brier(bins: DataFrame) -> DataFrame:
     return bins.agg(F.round(F.sum(F.col("n") * F.abs(F.col("acuracia") - F.col("confianca"))) / total, 6).alias("ece"), F.round(F.sum("quadrado") / total, 6).alias("brier"))
 
 
-@F.pandas_udf(T.DoubleType())
-def wer(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
-    """Word edit distance over the reference's length (at least 1); null if either side is null."""
+def wer(reference: Column, hypothesis: Column) -> Column:
+    """Word edit distance over the reference's length (at least 1); null if either side is null.
 
-    def one(a, b):
-        if a is None or b is None:
-            return None
-        a, b = list(a), list(b)
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            last, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-        return row[-1] / max(len(a), 1)
-
-    return pd.Series([one(a, b) for a, b in zip(reference, hypothesis)])
+    Every different word of a pair becomes one character, so that the built-in
+    distance of texts is that of words. A pair has at most 55,000 different ones.
+    """
+    words = F.array_distinct(F.concat(reference, hypothesis))
+    sign = lambda w: F.lpad(F.hex(F.array_position(words, w)), 4, "0")
+    text = lambda side: F.decode(F.unhex(F.array_join(F.transform(side, sign), "")), "UTF-16BE")
+    distance = F.levenshtein(text(reference), text(hypothesis)) / F.greatest(F.size(reference), F.lit(1))
+    return F.when(F.size(words) > 55_000, F.raise_error(F.lit("over 55,000 different words in a pair"))).otherwise(distance)
 
 
 def set_shares(sets: DataFrame, others: DataFrame, keys: list[str]) -> DataFrame:

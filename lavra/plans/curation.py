@@ -10,7 +10,7 @@ from lavra.operators import curation as C
 from lavra.operators import retrieval as R
 from lavra.plans.retrieval import _LEX
 from lavra.plans.text import fold_sql
-from lavra.sources.tables import table
+from lavra.sources.tables import small, table
 from lavra.streaming.limiter import limit
 
 
@@ -121,69 +121,40 @@ def typo_augment(spark, d):
 # Negative questions -----------------------------------------------------------------
 
 
-def _options(spark, d):
-    """Options of every negative question: the first three titles, in order, of its expected documents, and its own subject."""
-    q = _questions(spark, d).where(_stratum() == "negativa").select(F.col("id").alias("q"), F.explode("docs_esperados").alias("doc"))
-    titles = table(spark, d, "chunks").where("titulo IS NOT NULL").select(F.col("doc_id").alias("doc"), X.scan_key(F.col("titulo")).alias("opcao")).distinct()
-    place = F.row_number().over(Window.partitionBy("q").orderBy("opcao"))
-    return q.join(titles, "doc").select("q", "opcao").distinct().withColumn("n", place).where("n <= 3").select("q", "opcao")
+# What an option of a negative question may be called in the texts.
+SYNONYMS = {"criar tabela": ("create table", "criar tabela", "crie a tabela"), "alterar tipo de coluna": ("alter column", "alterar tipo", "altere o tipo", "alter type"), "apagar coluna": ("drop column", "apagar coluna", "apague a coluna")}
+_PLAIN = "[^a-z0-9]+"
 
 
-def _occurrences(spark, d):
-    """How often every option stands as whole words in the chunks of the question's documents."""
-    q = _questions(spark, d).where(_stratum() == "negativa").select(F.col("id").alias("q"), F.explode(F.array_distinct("docs_esperados")).alias("doc"))
-    texts = table(spark, d, "chunks").where("texto IS NOT NULL").select(F.col("doc_id").alias("doc"), F.concat(F.lit(" "), F.regexp_replace(X.scan_key(F.col("texto")), "[^a-z0-9]+", "  "), F.lit(" ")).alias("t"))
-    options = _options(spark, d).withColumn("alvo", F.concat(F.lit(" "), F.regexp_replace("opcao", "[^a-z0-9]+", "  "), F.lit(" ")))
-    hits = options.join(q, "q").join(texts, "doc").select("q", "opcao", ((F.length("t") - F.length(F.replace("t", F.col("alvo"), F.lit("")))) / F.length("alvo")).cast("bigint").alias("n"))
-    counted = hits.groupBy("q", "opcao").agg(F.sum("n").alias("n"))
-    return options.select("q", "opcao").join(counted, ["q", "opcao"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+def _negative(spark, d):
+    """(q, doc) of the negative questions."""
+    return _questions(spark, d).where(_stratum() == "negativa").select(F.col("id").alias("q"), F.explode(F.array_distinct("docs_esperados")).alias("doc"))
 
 
-def negative_rule(spark, d):
-    """Answer of the absence rule and of its fallback to the rarest option, for every negative question with options."""
-    o = _occurrences(spark, d).groupBy("q").agg(F.array_sort(F.collect_list(F.struct("n", "opcao"))).alias("o"))
-    absent = F.filter("o", lambda x: x["n"] == 0)
-    first = F.when(F.size(absent) == 1, absent[0]["opcao"])
-    why = F.when(F.size(absent) == 1, "ausente unica").when(F.size(absent) > 1, "ambigua").otherwise("todas presentes")
-    rarest = F.filter("o", lambda x: x["n"] == F.col("o")[0]["n"])
-    third = F.when(F.size(absent) > 0, first).when(F.size(rarest) < F.size("o"), F.col("o")[0]["opcao"])
-    return o.select(F.col("q").alias("pergunta_id"), first.alias("regra_1"), third.alias("regra_3"), why.alias("motivo"))
+def _title_options(spark, d, q):
+    """(q, opcao, alvo): every title of a question's documents, and its words with two spaces between them."""
+    plain = F.trim(F.regexp_replace(X.scan_key(F.col("titulo")), _PLAIN, "  "))
+    titles = table(spark, d, "chunks").where("titulo IS NOT NULL").select(F.col("doc_id").alias("doc"), X.scan_key(F.col("titulo")).alias("opcao"), plain.alias("alvo")).where("alvo <> ''").distinct()
+    return q.join(titles, "doc").select("q", "opcao", "alvo").distinct()
 
 
-def window_cooccurrence(spark, d):
-    """Chunks by document in which all lemmas of the document's first title of two words or more stand within 14 words, in any order."""
-    t = table(spark, d, "chunks")
-    titles = t.where("titulo IS NOT NULL").select(F.col("doc_id").alias("doc"), F.array_distinct(F.filter(X.lemmas(F.col("titulo")), lambda w: ~w.isin("de", "do", "da", "com"))).alias("l")).where(F.size("l") >= 2)
-    chosen = titles.groupBy("doc").agg(F.min("l").alias("l"))
-    # The words of a chunk meet the option's lemmas only; their places are windowed per chunk.
-    words = t.where("texto IS NOT NULL").select("id", F.col("doc_id").alias("doc"), F.posexplode(X.lemmas(F.col("texto"))).alias("pos", "w"))
-    wanted = chosen.select("doc", F.size("l").alias("n"), F.explode("l").alias("w"))
-    hits = words.join(wanted, ["doc", "w"])
-    near = Window.partitionBy("id").orderBy("pos").rangeBetween(0, 14)
-    full = hits.withColumn("junto", F.size(F.collect_set("w").over(near)) == F.col("n")).groupBy("doc", "id").agg(F.max("junto").alias("presente"))
-    return full.groupBy(F.col("doc").alias("doc_id")).agg(F.count("*").alias("chunks"), F.count_if("presente").alias("presentes"))
+def _counted(spark, d, wanted):
+    """(doc, alvo, n): how often the words of ``wanted`` (doc, alvo) stand in a row in the chunks of the document."""
+    plain = F.trim(F.regexp_replace(X.scan_key(F.col("texto")), _PLAIN, "  "))
+    chunks = table(spark, d, "chunks").where("texto IS NOT NULL").select(F.col("doc_id").alias("doc"), plain.alias("t")).join(wanted.select("doc").distinct(), "doc", "left_semi")
+    texts = chunks.groupBy("doc", "t").agg(F.count("*").alias("copias")).withColumn("chave", F.xxhash64("t"))
+    first = wanted.select(F.split("alvo", " +")[0].alias("w")).distinct()
+    sizes = wanted.agg(F.array_sort(F.collect_set(F.size(F.split("alvo", " +")))).alias("tamanhos"))
+    # Only word runs that begin like a wanted one, and are as long as one, meet the wanted ones, on all their words.
+    words = texts.select("doc", "chave", F.split("t", " +").alias("p")).select("doc", "chave", "p", F.posexplode("p").alias("i", "w")).join(small(first), "w", "left_semi")
+    runs = words.join(F.broadcast(sizes)).select("doc", "chave", F.explode(F.transform("tamanhos", lambda m: F.array_join(F.slice("p", F.col("i") + 1, m), "  "))).alias("alvo")).distinct()
+    t, target = F.concat(F.lit(" "), F.col("t"), F.lit(" ")), F.concat(F.lit(" "), F.col("alvo"), F.lit(" "))
+    hits = runs.join(wanted, ["doc", "alvo"], "left_semi").join(texts, ["doc", "chave"])
+    return hits.groupBy("doc", "alvo").agg(F.sum(F.col("copias") * ((F.length(t) - F.length(F.replace(t, target, F.lit("")))) / F.length(target)).cast("bigint")).alias("n"))
 
 
-def negative_rule_all(spark, d):
-    """As ``negative_rule``, with every title of the question's documents as an option, and the number of options and of absent ones.
-
-    A title counts where its words stand in a row; one without a letter or digit is no option.
-    """
-    plain = lambda c: F.trim(F.regexp_replace(X.scan_key(F.col(c)), "[^a-z0-9]+", "  "))
-    q = _questions(spark, d).where(_stratum() == "negativa").select(F.col("id").alias("q"), F.explode(F.array_distinct("docs_esperados")).alias("doc"))
-    chunks = table(spark, d, "chunks").select(F.col("doc_id").alias("doc"), "titulo", "texto").join(q.select("doc").distinct(), "doc", "left_semi")
-    titles = chunks.where("titulo IS NOT NULL").select("doc", X.scan_key(F.col("titulo")).alias("opcao"), plain("titulo").alias("alvo")).where("alvo <> ''").distinct()
-    options = q.join(titles, "doc").select("q", "opcao", "alvo").distinct()
-    # Counted once per document and title, in those chunks only that hold the title's first word.
-    wanted = options.join(q, "q").select("doc", "alvo", F.split("alvo", " ")[0].alias("w")).distinct()
-    texts = chunks.where("texto IS NOT NULL").select("doc", plain("texto").alias("t")).groupBy("doc", "t").agg(F.count("*").alias("copias")).withColumn("chave", F.md5("t"))
-    held = texts.select("doc", "chave", F.explode(F.array_distinct(F.split("t", " +"))).alias("w"))
-    padded = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
-    t, target = padded(F.col("t")), padded(F.col("alvo"))
-    hits = wanted.join(held, ["doc", "w"]).select("doc", "alvo", "chave").join(texts, ["doc", "chave"]).select("doc", "alvo", (F.col("copias") * ((F.length(t) - F.length(F.replace(t, target, F.lit("")))) / F.length(target)).cast("bigint")).alias("n"))
-    counted = hits.groupBy("doc", "alvo").agg(F.sum("n").alias("n"))
-    by_question = options.join(q, "q").join(counted, ["doc", "alvo"], "left").groupBy("q", "opcao").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
-    # Aggregates, not lists: a question may have any number of options.
+def _rules(by_question):
+    """Answers of the absence rule and of its fallback to the rarest option, from (q, opcao, n). Aggregates, not lists: a question may have any number of options."""
     least = by_question.groupBy("q").agg(F.min(F.struct("n", "opcao")).alias("menor"), F.count("*").alias("opcoes"), F.count_if(F.col("n") == 0).alias("ausentes"))
     ties = by_question.join(least, "q").where(F.col("n") == F.col("menor.n")).groupBy("q").agg(F.count("*").alias("iguais"))
     first = F.when(F.col("ausentes") == 1, F.col("menor.opcao"))
@@ -192,10 +163,43 @@ def negative_rule_all(spark, d):
     return least.join(ties, "q").select(F.col("q").alias("pergunta_id"), first.alias("regra_1"), third.alias("regra_3"), why.alias("motivo"), "opcoes", "ausentes")
 
 
+def negative_rule_all(spark, d):
+    """Answer of the absence rule and of its fallback to the rarest option, for every negative question; its options are all titles of its documents.
+
+    A title counts where its words stand in a row; one without a letter or digit is no option.
+    """
+    q = _negative(spark, d)
+    options = _title_options(spark, d, q)
+    counted = _counted(spark, d, options.join(q, "q").select("doc", "alvo").distinct())
+    return _rules(options.join(q, "q").join(counted, ["doc", "alvo"], "left").groupBy("q", "opcao").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")))
+
+
+def negative_v5(spark, d):
+    """The absence rule with three ways of being present: in these words, in a synonym's, or all lemmas within 14 words in a document; options by way and answer for every question."""
+    q = _negative(spark, d)
+    options = _title_options(spark, d, q)
+    names = F.create_map(*[F.lit(x) for k, v in SYNONYMS.items() for x in (k, "|".join(v))])
+    synonyms = options.select("opcao", F.explode(F.split(names[F.col("opcao")], r"\|")).alias("nome")).distinct().withColumn("sinonimo", F.regexp_replace("nome", " ", "  "))
+    both = options.select("q", "opcao", "alvo").unionByName(options.select("q", "opcao").join(synonyms, "opcao").select("q", "opcao", F.col("sinonimo").alias("alvo")))
+    counted = _counted(spark, d, both.join(q, "q").select("doc", "alvo").distinct())
+    held = lambda rows, name: rows.join(q, "q").join(counted, ["doc", "alvo"]).where("n > 0").select("q", "opcao").distinct().withColumn(name, F.lit(True))
+    windows = window_cooccurrence_all(spark, d).where("presentes > 0").select(F.col("doc_id").alias("doc"), "lemas")
+    near = options.withColumn("lemas", F.array_join(_content(F.col("opcao")), " ")).join(q, "q").join(windows, ["doc", "lemas"]).select("q", "opcao").distinct().withColumn("janela", F.lit(True))
+    rows = options.select("q", "opcao").distinct().join(held(options, "literal"), ["q", "opcao"], "left").join(held(options.select("q", "opcao").join(synonyms, "opcao").select("q", "opcao", F.col("sinonimo").alias("alvo")), "outro"), ["q", "opcao"], "left").join(near, ["q", "opcao"], "left")
+    way = F.when(F.col("literal"), "literal").when(F.col("outro"), "sinonimo").when(F.col("janela"), "janela").otherwise("ausente")
+    out = rows.withColumn("via", way).groupBy("q").agg(*[F.count_if(F.col("via") == v).alias(v) for v in ("literal", "sinonimo", "janela", "ausente")], F.min(F.when(F.col("via") == "ausente", F.col("opcao"))).alias("menor"))
+    return out.select(F.col("q").alias("pergunta_id"), F.when(F.col("ausente") == 1, F.col("menor")).alias("regra_5"), "literal", "sinonimo", "janela", "ausente")
+
+
+def _content(text):
+    """Sorted distinct lemmas of a title without the words that join them."""
+    return F.array_sort(F.array_distinct(F.filter(X.lemmas(text), lambda w: ~w.isin("de", "do", "da", "com"))))
+
+
 def window_cooccurrence_all(spark, d):
-    """As ``window_cooccurrence``, for every title of two lemmas or more of every document: chunks with any of its lemmas, and with all within 14 words."""
+    """For every title of two lemmas or more of every document: its chunks with any of the lemmas, and with all within 14 words, in any order."""
     t = table(spark, d, "chunks")
-    titles = t.where("titulo IS NOT NULL").select(F.col("doc_id").alias("doc"), F.array_sort(F.array_distinct(F.filter(X.lemmas(F.col("titulo")), lambda w: ~w.isin("de", "do", "da", "com")))).alias("l")).where(F.size("l") >= 2).distinct()
+    titles = t.where("titulo IS NOT NULL").select(F.col("doc_id").alias("doc"), _content(F.col("titulo")).alias("l")).where(F.size("l") >= 2).distinct()
     titles = titles.select("doc", F.array_join("l", " ").alias("lemas"), "l")
     words = t.where("texto IS NOT NULL").select("id", F.col("doc_id").alias("doc"), F.posexplode(X.lemmas(F.col("texto"))).alias("pos", "w"))
     hits = words.join(titles.select("doc", "lemas", F.size("l").alias("n"), F.explode("l").alias("w")), ["doc", "w"])
@@ -231,8 +235,7 @@ QUERIES = {
     "router_train_predict": router_train_predict,
     "manifest_dedup": manifest_dedup, "manifest_by_course": manifest_by_course, "exact_dup_classes": exact_dup_classes, "fuzzy_vs_golden": fuzzy_vs_golden, "exact_vs_golden": exact_vs_golden, "pending_questions": pending_questions,
     "integrity_checks": integrity_checks, "reachable_questions": reachable_questions, "qa_curate": qa_curate, "stratified_sample": stratified_sample, "train_test_split": train_test_split, "typo_augment": typo_augment,
-    "negative_rule": negative_rule, "window_cooccurrence": window_cooccurrence, "rate_limit": rate_limit,
-    "negative_rule_all": negative_rule_all, "window_cooccurrence_all": window_cooccurrence_all,
+    "negative_rule": negative_rule_all, "window_cooccurrence": window_cooccurrence_all, "negative_v5": negative_v5, "rate_limit": rate_limit,
 }
 
 _KEY = "regexp_replace(lower({0}), '[^a-z0-9]', '', 'g')"
@@ -244,11 +247,19 @@ _SET = "list_distinct(regexp_extract_all(lower(pergunta), '[a-z0-9]{3,}'))"
 _SIDE = "CASE WHEN ('0x' || substring(md5(id::VARCHAR || '-42'), 1, 6))::BIGINT < floor(0.1 * 16777216) THEN 'teste' ELSE 'treino' END"
 _LEM = "list_transform(regexp_extract_all({0}, '[a-z0-9]{{2,}}'), lambda t: regexp_replace(t, '^(.{{3,}})s$', '\\1'))"
 _NEG = f"""WITH {_G}, n AS (SELECT DISTINCT id AS q, unnest(docs_esperados) AS doc FROM g WHERE {_STR} = 'negativa'),
-ti AS (SELECT DISTINCT doc_id AS doc, {_SCAN.format('titulo')} AS opcao FROM chunks WHERE titulo IS NOT NULL),
-op AS (SELECT q, opcao FROM (SELECT q, opcao, row_number() OVER (PARTITION BY q ORDER BY opcao) AS k FROM (SELECT DISTINCT q, opcao FROM n JOIN ti USING (doc))) WHERE k <= 3),
-oa AS (SELECT q, opcao, ' ' || regexp_replace(opcao, '[^a-z0-9]+', '  ', 'g') || ' ' AS alvo FROM op),
-tx AS (SELECT doc_id AS doc, ' ' || regexp_replace({_SCAN.format('texto')}, '[^a-z0-9]+', '  ', 'g') || ' ' AS t FROM chunks WHERE texto IS NOT NULL),
-oc AS (SELECT oa.q, oa.opcao, coalesce(sum((length(t) - length(replace(t, alvo, ''))) // length(alvo)), 0)::BIGINT AS n FROM oa LEFT JOIN n ON n.q = oa.q LEFT JOIN tx ON tx.doc = n.doc GROUP BY 1, 2)"""
+ti AS (SELECT DISTINCT doc_id AS doc, {_SCAN.format('titulo')} AS opcao, trim(regexp_replace({_SCAN.format('titulo')}, '[^a-z0-9]+', '  ', 'g')) AS alvo FROM chunks WHERE titulo IS NOT NULL),
+op AS (SELECT DISTINCT q, opcao, alvo FROM n JOIN ti USING (doc) WHERE alvo <> ''),
+tx AS (SELECT doc_id AS doc, ' ' || trim(regexp_replace({_SCAN.format('texto')}, '[^a-z0-9]+', '  ', 'g')) || ' ' AS t FROM chunks WHERE texto IS NOT NULL),
+da AS (SELECT DISTINCT doc, alvo FROM op JOIN n USING (q)),
+ca AS (SELECT doc, alvo, sum((length(t) - length(replace(t, ' ' || alvo || ' ', ''))) // (length(alvo) + 2)) AS k FROM da JOIN tx USING (doc) GROUP BY 1, 2),
+oc AS (SELECT op.q, op.opcao, coalesce(sum(k), 0)::BIGINT AS n FROM op JOIN n USING (q) LEFT JOIN ca ON ca.doc = n.doc AND ca.alvo = op.alvo GROUP BY 1, 2)"""
+_CONTENT = "list_sort(list_distinct(list_filter(" + _LEM + ", lambda w: w NOT IN ('de', 'do', 'da', 'com'))))"
+_WIN = f"""tl AS (SELECT DISTINCT doc_id AS doc, {_CONTENT.format(_SCAN.format('titulo'))} AS l FROM chunks WHERE titulo IS NOT NULL),
+es AS (SELECT doc, array_to_string(l, ' ') AS lemas, l FROM tl WHERE len(l) >= 2),
+wo AS (SELECT id, doc, unnest(w) AS w, unnest(generate_series(1, len(w))) AS pos FROM (SELECT id, doc_id AS doc, {_LEM.format(_SCAN.format('texto'))} AS w FROM chunks WHERE texto IS NOT NULL)),
+hi AS (SELECT wo.id, wo.doc, es.lemas, wo.pos, wo.w, len(es.l) AS n FROM wo JOIN (SELECT doc, lemas, l, unnest(l) AS w FROM es) es ON es.doc = wo.doc AND es.w = wo.w),
+ju AS (SELECT doc, lemas, id, len(list_distinct(list(w) OVER (PARTITION BY doc, id, lemas ORDER BY pos RANGE BETWEEN CURRENT ROW AND 14 FOLLOWING))) = n AS junto FROM hi),
+fu AS (SELECT doc, lemas, id, bool_or(junto) AS presente FROM ju GROUP BY 1, 2, 3)"""
 
 ORACLES = {
     "manifest_dedup": "SELECT sha1, min(arquivo) AS arquivo, count(*) AS copias, max(tamanho) AS tamanho FROM manifesto_corpus WHERE sha1 IS NOT NULL GROUP BY 1",
@@ -271,15 +282,11 @@ SELECT regexp_replace(lower(coalesce(estrato, '')), '[\s_]+', '', 'g') AS estrat
     "typo_augment": f"""WITH r AS (SELECT id, pergunta, strip_accents(pergunta) AS t, length(strip_accents(pergunta)) // 2 AS h, ('0x' || substring(md5(id::VARCHAR || '-typo'), 1, 4))::INT < 13107 AS c FROM dataset_sintetico_v05b WHERE {_SIDE} = 'treino' AND pergunta IS NOT NULL)
 SELECT id, 0 AS variante, md5(pergunta) AS resumo FROM r UNION ALL SELECT id, 1, md5(t[:h] || t[h + 2:]) FROM r WHERE c""",
     "negative_rule": _NEG + """, l AS (SELECT q, list({'n': n, 'opcao': opcao} ORDER BY n, opcao) AS o FROM oc GROUP BY q), m AS (SELECT q, o, list_filter(o, lambda x: x.n = 0) AS z, list_filter(o, lambda x: x.n = o[1].n) AS r FROM l)
-SELECT q AS pergunta_id, CASE WHEN len(z) = 1 THEN z[1].opcao END AS regra_1, CASE WHEN len(z) > 0 THEN CASE WHEN len(z) = 1 THEN z[1].opcao END WHEN len(r) < len(o) THEN o[1].opcao END AS regra_3, CASE WHEN len(z) = 1 THEN 'ausente unica' WHEN len(z) > 1 THEN 'ambigua' ELSE 'todas presentes' END AS motivo FROM m""",
-    "window_cooccurrence": f"""WITH ti AS (SELECT doc_id AS doc, list_filter({_LEM.format(_SCAN.format('titulo'))}, lambda w: w NOT IN ('de', 'do', 'da', 'com')) AS l0 FROM chunks WHERE titulo IS NOT NULL),
-td AS (SELECT doc, list_filter(l0, lambda x, i: list_position(l0, x) = i) AS l FROM ti),
-es AS (SELECT doc, min(l) AS l FROM td WHERE len(l) >= 2 GROUP BY doc),
-wo AS (SELECT id, doc, unnest(w) AS w, unnest(generate_series(1, len(w))) AS pos FROM (SELECT id, doc_id AS doc, {_LEM.format(_SCAN.format('texto'))} AS w FROM chunks WHERE texto IS NOT NULL)),
-hi AS (SELECT wo.id, wo.doc, wo.pos, wo.w, len(es.l) AS n FROM wo JOIN es ON es.doc = wo.doc AND list_contains(es.l, wo.w)),
-ju AS (SELECT doc, id, len(list_distinct(list(w) OVER (PARTITION BY id ORDER BY pos RANGE BETWEEN CURRENT ROW AND 14 FOLLOWING))) = n AS junto FROM hi),
-fu AS (SELECT doc, id, bool_or(junto) AS presente FROM ju GROUP BY 1, 2)
-SELECT doc AS doc_id, count(*) AS chunks, count(*) FILTER (WHERE presente) AS presentes FROM fu GROUP BY 1""",
+SELECT q AS pergunta_id, CASE WHEN len(z) = 1 THEN z[1].opcao END AS regra_1, CASE WHEN len(z) > 0 THEN CASE WHEN len(z) = 1 THEN z[1].opcao END WHEN len(r) < len(o) THEN o[1].opcao END AS regra_3, CASE WHEN len(z) = 1 THEN 'ausente unica' WHEN len(z) > 1 THEN 'ambigua' ELSE 'todas presentes' END AS motivo, len(o) AS opcoes, len(z) AS ausentes FROM m""",
+    "window_cooccurrence": "WITH " + _WIN + " SELECT es.doc AS doc_id, es.lemas, count(fu.id) AS chunks, count(*) FILTER (WHERE presente) AS presentes FROM es LEFT JOIN fu ON fu.doc = es.doc AND fu.lemas = es.lemas GROUP BY 1, 2",
+    "negative_v5": _NEG + ", " + _WIN + f""", va AS (SELECT op.q, op.opcao, CASE WHEN any_value(oc.n) > 0 THEN 'literal' WHEN bool_or(fu.presente) THEN 'janela' ELSE 'ausente' END AS via
+ FROM op JOIN oc ON oc.q = op.q AND oc.opcao = op.opcao JOIN n ON n.q = op.q LEFT JOIN fu ON fu.doc = n.doc AND fu.lemas = array_to_string({_CONTENT.format('op.opcao')}, ' ') GROUP BY 1, 2)
+ SELECT q AS pergunta_id, CASE WHEN count(*) FILTER (WHERE via = 'ausente') = 1 THEN min(opcao) FILTER (WHERE via = 'ausente') END AS regra_5, count(*) FILTER (WHERE via = 'literal') AS literal, 0::BIGINT AS sinonimo, count(*) FILTER (WHERE via = 'janela') AS janela, count(*) FILTER (WHERE via = 'ausente') AS ausente FROM va GROUP BY 1""",
     "rate_limit": """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
 f AS (SELECT user_id, 0::BIGINT AS n, []::DOUBLE[] AS log, false AS ok, 0.0::DOUBLE AS espera FROM (SELECT DISTINCT user_id FROM e)
   UNION ALL SELECT f.user_id, e.n, CASE WHEN len(l) < 2 THEN list_append(l, e.t) ELSE l END, len(l) < 2, CASE WHEN len(l) < 2 THEN 0.0 ELSE 21600 - (e.t - l[1]) END

@@ -61,7 +61,8 @@ def _pool(spark, d, size):
 def bm25_idf(spark, d):
     """Document frequency and idf of every term of the chunks."""
     chunks = table(spark, d, "chunks")
-    return R.idf(R.postings(chunks, "id", "texto"), R.corpus_size(chunks, "texto")).withColumn("idf", F.round("idf", 6))
+    posted = R.postings(chunks, "id", "texto")
+    return R.idf(posted, R.corpus_size(chunks, "texto", posted)).withColumn("idf", F.round("idf", 6))
 
 
 def bm25_topk(spark, d):

@@ -51,14 +51,19 @@ def limit(events: DataFrame, *, id: str, key: str, time: str, quantity: int, per
     return sorted_rows.select("id", "chave", "trecho", "quando").mapInPandas(run, "id bigint, admitida boolean, espera double")
 
 
-def limit_stream(events: DataFrame, *, id: str, key: str, time: str, quantity: int, period: float) -> DataFrame:
+def limit_stream(events: DataFrame, *, id: str, key: str, time: str, quantity: int, period: float, late: float | None = None) -> DataFrame:
     """The limiter on a stream: the log of each key is state; events of a micro-batch are taken in order of time.
 
-    State ends when no event of the key came for a period (processing time), as
-    its log has run empty by then.
+    All times are event times. Events more than ``late`` seconds (a period,
+    unless given) behind the latest are dropped by the watermark; state ends once the watermark is a period past the
+    key's last admitted event, when its log has run empty, so that a replay at any
+    speed gives the same. A key's events of one micro-batch are held at once.
     """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+    # The first watermark is time 0; a second ahead of it, no event is late before any came.
+    ahead = 1000
+
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
@@ -67,8 +72,10 @@ def limit_stream(events: DataFrame, *, id: str, key: str, time: str, quantity: i
         rows = pd.concat(list(batches)).sort_values(["quando", "id"])
         out = [(i, k[0], *admit(log, q / 1e6, quantity, period)) for i, q in zip(rows["id"], rows["quando"])]
         state.update((list(log),))
-        state.setTimeoutDuration(max(1, int(period * 1000)))
+        ends = int((max(log, default=0.0) + period) * 1000) + 1 + ahead
+        state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["id", "chave", "admitida", "espera"])
 
-    rows = events.select(F.col(id).cast("bigint").alias("id"), F.col(key).cast("string").alias("chave"), F.unix_micros(F.col(time).cast("timestamp")).alias("quando"))
-    return rows.groupBy("chave").applyInPandasWithState(run, "id bigint, chave string, admitida boolean, espera double", "log array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = events.withColumn("_quando", F.timestamp_micros(F.unix_micros(F.col(time).cast("timestamp")) + ahead * 1000)).withWatermark("_quando", f"{period if late is None else late} seconds")
+    rows = timed.select(F.col(id).cast("bigint").alias("id"), F.col(key).cast("string").alias("chave"), (F.unix_micros("_quando") - ahead * 1000).alias("quando"), "_quando")
+    return rows.groupBy("chave").applyInPandasWithState(run, "id bigint, chave string, admitida boolean, espera double", "log array<double>", "append", GroupStateTimeout.EventTimeTimeout)
