@@ -105,11 +105,11 @@ def is_empty(answer: Column) -> Column:
 
 def is_refusal(answer: Column) -> Column:
     """Any sentence that declines or claims not to know."""
-    return unaccented(answer).rlike("(?s)" + "|".join(f"(?:{p})" for p in REFUSALS))
+    return _declines(unaccented(answer))
 
 
-def _bag(text: Column) -> Column:
-    return F.regexp_extract_all(unaccented(text), F.lit(r"[\p{L}\p{N}]+"), 0)
+def _declines(plain: Column) -> Column:
+    return plain.rlike("(?s)" + "|".join(f"(?:{p})" for p in REFUSALS))
 
 
 # Words that label a repeated question.
@@ -118,10 +118,18 @@ LABELS = ("pergunta", "questao", "resposta", "a", "e", "question", "answer", "vo
 
 def is_copy(question: Column, answer: Column) -> Column:
     """The answer holds the question's words and, besides labels, no others."""
-    q, a, labels = _bag(question), _bag(answer), F.array(*[F.lit(w) for w in LABELS])
+    return _repeats(_bag(unaccented(question)), _bag(unaccented(answer)))
+
+
+def _bag(plain: Column) -> Column:
+    return F.regexp_extract_all(plain, F.lit(r"[\p{L}\p{N}]+"), 0)
+
+
+def _repeats(q: Column, a: Column) -> Column:
+    labels = F.array(*[F.lit(w) for w in LABELS])
     new = F.array_except(a, F.concat(q, labels))
     gone = F.array_except(q, F.concat(a, labels))
-    return (F.size(q) > 2) & (F.size(new) == 0) & (F.size(gone) * 10 <= F.size(q)) & (F.size(a) <= F.size(q) + 4)
+    return (F.size(q) > 2) & (F.size(a) <= F.size(q) + 4) & (F.size(new) == 0) & (F.size(gone) * 10 <= F.size(q))
 
 
 _COMPARED = "id bigint, lingua_pergunta string, lingua_resposta string, adiante_pergunta double, adiante_resposta double, palavras int"
@@ -163,14 +171,16 @@ def defects(pairs: DataFrame, model: NaiveBayes, *, id: str = "id", question: st
     """
     rows = pairs.where(F.col(id).isNotNull()).select(F.col(id).cast("bigint").alias("id"), F.col(question).alias("q"), F.col(answer).alias("a"), F.coalesce(F.col(kind), F.lit("")).alias("k"), F.col(source).alias("s"))
     empty = is_empty(F.col("a"))
+    # Folded once, for all that is asked of the words; an outer explode asks nothing twice.
+    folded = rows.withColumn("ua", unaccented(F.col("a"))).withColumn("uq", unaccented(F.col("q"))).withColumn("vazia", empty)
     labels = F.array_compact(
         F.array(
-            F.when(empty, F.lit("vazia")),
-            F.when(~empty & (F.lower(F.trim("k")) != "abstencao") & is_refusal(F.col("a")), F.lit("recusa")),
-            F.when(~empty & F.coalesce(is_copy(F.col("q"), F.col("a")), F.lit(False)), F.lit("copia")),
+            F.when(F.col("vazia"), F.lit("vazia")),
+            F.when(~F.col("vazia") & (F.lower(F.trim("k")) != "abstencao") & _declines(F.col("ua")), F.lit("recusa")),
+            F.when(~F.col("vazia") & F.coalesce(_repeats(_bag(F.col("uq")), _bag(F.col("ua"))), F.lit(False)), F.lit("copia")),
         )
     )
-    plain = rows.select("id", F.explode(labels).alias("defeito"))
+    plain = folded.select("id", F.explode_outer(labels).alias("defeito")).where("defeito IS NOT NULL")
     full = rows.where(~empty)
     texts = full.select(F.lit("pares").alias("tabela"), F.col("id").alias("registro"), F.col("s").alias("fonte"), F.col("a").alias("texto"), F.col("q").alias("pergunta"))
     cut = end_likelihoods(texts).where("cortado").select(F.col("registro").alias("id"), F.lit("truncada").alias("defeito"))
