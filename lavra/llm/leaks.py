@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lavra.llm.words import near, words
+from lavra.llm.words import near, word_spans, words
 
 
 @dataclass(frozen=True)
@@ -30,12 +30,15 @@ class Limits:
     A passage counts from ``consecutive`` words of an item on, or when it holds
     the item whole; of every ``slack`` words one may be missing, added or misspelt.
     ``block_words`` bounds the item words that one automaton holds and one
-    broadcast carries; more items are taken in several blocks.
+    broadcast carries; more items are taken in several blocks. Documents are read
+    and folded once for as many blocks as ``pass_words`` item words make, which is
+    what a worker holds at a time.
     """
 
     consecutive: int = 20
     slack: int = 6
     block_words: int = 100_000
+    pass_words: int = 400_000
     seed: int = 4
     short_seed: int = 3
 
@@ -52,7 +55,10 @@ class Automaton:
             for at, word in enumerate(sequence):
                 last = self._extend(last, word)
                 ends[last].append((key, at))
-        short = {k for k, s in sequences if len(s) < limits.consecutive}
+        short = {k for k, s in sequences if limits.short_seed <= len(s) < limits.consecutive}
+        # Items of fewer words than a seed are their own seeds.
+        brief = {k: len(s) for k, s in sequences if len(s) < limits.short_seed}
+        self.brief: dict[int, dict[int, list[tuple[int, int]]]] = {n: {} for n in set(brief.values())}
         self.seeds: dict[int, list[tuple[int, int]]] = {}
         self.short: dict[int, list[tuple[int, int]]] = {}
         for state in sorted(range(1, len(self.length)), key=lambda s: -self.length[s]):
@@ -60,9 +66,12 @@ class Automaton:
             if here and below > 0:
                 ends[self.link[state]].extend(here)
             if below < limits.seed <= self.length[state]:
-                self.seeds[state] = [x for x in here if x[0] not in short]
+                self.seeds[state] = [x for x in here if x[0] not in short and x[0] not in brief]
             if below < limits.short_seed <= self.length[state]:
                 self.short[state] = [x for x in here if x[0] in short]
+            for n, own in self.brief.items():
+                if below < n <= self.length[state]:
+                    own[state] = [x for x in here if brief.get(x[0]) == n]
 
     def _extend(self, last: int, word: str) -> int:
         nexts, link, length = self.next, self.link, self.length
@@ -183,7 +192,24 @@ def _seeds_left(size: int, limits: Limits) -> int:
 def scan(text: list[str], items: dict[int, list[str]], automaton: Automaton, limits: Limits) -> list[tuple[int, int, int, int, int, int]]:
     """(item, item from, to, text from, to, errors) of every item that the text holds."""
     hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    for at, state, size in automaton.walk(text):
+    nexts, link, length, least = automaton.next, automaton.link, automaton.length, min([limits.short_seed, *automaton.brief])
+    state = size = 0
+    # As in Automaton.walk; words that lead nowhere are passed over.
+    for at, word in enumerate(text):
+        to = nexts[state].get(word)
+        while to is None and state:
+            state = link[state]
+            size = length[state]
+            to = nexts[state].get(word)
+        if to is None:
+            continue
+        state, size = to, size + 1
+        if size < least:
+            continue
+        for n, own in automaton.brief.items():
+            if size >= n:
+                for key, end in own.get(automaton.ancestor(state, n), ()):
+                    hits[key].append((at - end, at))
         if size >= limits.short_seed:
             for key, end in automaton.short.get(automaton.ancestor(state, limits.short_seed), ()):
                 hits[key].append((at - end, at))
@@ -200,7 +226,7 @@ def scan(text: list[str], items: dict[int, list[str]], automaton: Automaton, lim
         drift, reach_words = least // limits.slack, least + least // limits.slack
         places = sorted({(at, diagonal) for diagonal, at in places})
         done, tried = -1, {}
-        seed = limits.short_seed if len(item) < limits.consecutive else limits.seed
+        seed = min(len(item), limits.short_seed) if len(item) < limits.consecutive else limits.seed
         for at, diagonal in places:
             # Only seeds that lie close together, on nearly one diagonal, are worth an alignment; those of one errorless run give the same.
             if at <= max(done, tried.get(diagonal, -1)) or len({a for a, d in places if at <= a < at + reach_words and abs(d - diagonal) <= drift}) < enough:
@@ -228,8 +254,8 @@ def blocks(items: DataFrame, id: str, text: str, limits: Limits) -> Iterator[lis
 
 
 _OUT = T.StructType([T.StructField("doc", T.LongType()), T.StructField("item", T.LongType()), T.StructField("item_from", T.IntegerType()), T.StructField("item_to", T.IntegerType()), T.StructField("doc_from", T.IntegerType()), T.StructField("doc_to", T.IntegerType()), T.StructField("errors", T.IntegerType()), T.StructField("item_words", T.IntegerType()), T.StructField("doc_words", T.IntegerType())])
-#: The automaton of the block that this worker used last, by the block's name.
-_BUILT: dict[str, tuple] = {}
+#: The automata of the pass that this worker made last, by the pass's name.
+_BUILT: dict[str, list[tuple[dict, Automaton]]] = {}
 
 
 def passages(documents: DataFrame, items: DataFrame, *, id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "texto", limits: Limits = Limits()) -> DataFrame:
@@ -244,27 +270,33 @@ def passages(documents: DataFrame, items: DataFrame, *, id: str = "doc_id", text
     slots = spark.sparkContext.defaultParallelism
     if texts.rdd.getNumPartitions() < slots:
         texts = texts.repartition(slots)
-    result = None
-    for block in blocks(items, item_id, item_text, limits):
-        carried, name = spark.sparkContext.broadcast(block), uuid.uuid4().hex
+    together = max(1, limits.pass_words // limits.block_words)
+    result, carried = None, []
 
-        def run(batches: Iterator[pd.DataFrame], carried=carried, name=name) -> Iterator[pd.DataFrame]:
+    def scanned(blocks_: list) -> DataFrame:
+        name = uuid.uuid4().hex
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if name not in _BUILT:
                 _BUILT.clear()
-                _BUILT[name] = (dict(carried.value), Automaton(carried.value, limits))
-            sequences, automaton = _BUILT[name]
+                _BUILT[name] = [(dict(b.value), Automaton(b.value, limits)) for b in blocks_]
             for batch in batches:
                 rows = []
                 for doc, value in zip(batch["doc"], batch["text"]):
                     text_words = words(value)
-                    rows += [(doc, *hit, len(sequences[hit[0]]), len(text_words)) for hit in scan(text_words, sequences, automaton, limits)]
+                    for sequences, automaton in _BUILT[name]:
+                        rows += [(doc, *hit, len(sequences[hit[0]]), len(text_words)) for hit in scan(text_words, sequences, automaton, limits)]
                 yield pd.DataFrame(rows, columns=_OUT.names)
 
-        part = texts.mapInPandas(run, _OUT)
-        result = part if result is None else result.unionByName(part)
-    if result is None:
-        return spark.createDataFrame([], _OUT)
-    return result
+        return texts.mapInPandas(run, _OUT)
+
+    for block in blocks(items, item_id, item_text, limits):
+        carried.append(spark.sparkContext.broadcast(block))
+        if len(carried) == together:
+            result, carried = scanned(carried) if result is None else result.unionByName(scanned(carried)), []
+    if carried:
+        result = scanned(carried) if result is None else result.unionByName(scanned(carried))
+    return spark.createDataFrame([], _OUT) if result is None else result
 
 
 def leaked_pairs(found: DataFrame) -> DataFrame:
@@ -291,25 +323,15 @@ def cleaned(documents: DataFrame, found: DataFrame, *, id: str = "doc_id", text:
 
 
 def _cut(text: str, spans, drop_share: float) -> tuple[str | None, int]:
-    import re
-
-    places = [m.span() for m in re.finditer(r"[^\W_]+", text)]
-    # Folding can split a letter run only where a compatibility character stands; then positions are by the folded words.
-    removed = set()
-    for span in spans:
-        removed.update(range(span["doc_from"], span["doc_to"]))
-    removed = {r for r in removed if r < len(places)}
+    places = word_spans(text)
+    removed = sorted({k for span in spans for k in range(span["doc_from"], span["doc_to"])})
     if len(removed) > drop_share * len(places):
         return None, len(removed)
-    out, last, k = [], 0, 0
-    while k < len(places):
-        if k in removed:
-            stop = k
-            while stop + 1 in removed:
-                stop += 1
-            out.append(text[last : places[k][0]])
-            last = places[stop][1]
-            k = stop
-        k += 1
-    out.append(text[last:])
-    return "".join(out), len(removed)
+    out, last = [], 0
+    for n, k in enumerate(removed):
+        if n and removed[n - 1] == k - 1:
+            last = places[k][1]
+            continue
+        out.append(text[last : places[k][0]])
+        last = places[k][1]
+    return "".join([*out, text[last:]]), len(removed)

@@ -6,12 +6,13 @@ import re
 import unicodedata
 
 _WORD = re.compile(r"[^\W_]+")
+_MARKS = re.compile("[" + "".join(c for c in map(chr, range(0x20000)) if unicodedata.combining(c)) + "]+")
 
 
 def fold(text: str) -> str:
     """Lower case without accents; any script is kept."""
-    text = unicodedata.normalize("NFKD", text.lower())
-    return "".join(c for c in text if not unicodedata.combining(c))
+    text = text.lower()
+    return text if text.isascii() else _MARKS.sub("", unicodedata.normalize("NFKD", text))
 
 
 def words(text: str) -> list[str]:
@@ -19,6 +20,22 @@ def words(text: str) -> list[str]:
     return _WORD.findall(fold(text))
 
 
+def word_spans(text: str) -> list[tuple[int, int]]:
+    """Where each word of :func:`words` stands in ``text`` itself, its accents included, composed or not."""
+    folded, origin = [], []
+    for at, c in enumerate(text):
+        plain = fold(c)
+        folded.append(plain)
+        origin += [at] * len(plain)
+    found = []
+    for m in _WORD.finditer("".join(folded)):
+        stop = origin[m.end() - 1] + 1
+        while stop < len(text) and unicodedata.combining(text[stop]):
+            stop += 1
+        found.append((origin[m.start()], stop))
+    return found
+
+
 def near(a: str, b: str, most: int = 1) -> bool:
     """Whether at most ``most`` insertions, deletions, replacements or swaps of neighbours lead from a to b."""
     if a == b:

@@ -75,3 +75,33 @@ def test_errors_near_the_ends_of_an_excerpt():
             assert held(item, copy[:k] + [copy[k][:2] + "x" + copy[k][3:]] + copy[k + 1 :]) == [(10, 10 + size)], (size, k)
             assert held(item, copy[:k] + copy[k + 1 :]) == [(10, 10 + size)], (size, k)
     assert held(item, item[10:29]) == [] and held(item, item[10:12] + item[13:29]) == []
+
+
+def test_items_of_one_and_two_words():
+    items = {1: ["unico"], 2: ["dois", "termos"], 3: words(5, 10)}
+    machine = Automaton(list(items.items()), Limits())
+    text = words(7, 8)
+    assert scan(text, items, machine, Limits()) == []
+    assert {(k, a, b) for k, _, _, a, b, _ in scan(text[:3] + ["unico"] + text[3:5] + ["dois", "termos"] + text[5:] + ["dois"], items, machine, Limits())} == {(1, 3, 4), (2, 6, 8)}
+
+
+def test_decomposed_text_is_cut_where_the_passage_stands(spark):
+    import unicodedata
+
+    from lavra.llm.words import word_spans, words as folded
+
+    a = words(1, 24)
+    passage = " ".join(a)
+    text = unicodedata.normalize("NFD", "Avaliação é fácil ﬁm: ") + passage + unicodedata.normalize("NFD", ", não é útil. Até já, à noite, há uma reunião; vêm três irmãs, cinco cães, um avô, dois bebês, várias mães, um pão, um órgão e três colchões.")
+    assert folded(text) == ["".join(folded(text[i:j])) for i, j in word_spans(text)]
+    df = spark.createDataFrame([(1, text, "y")], DOCS)
+    found = passages(df, spark.createDataFrame([(1, passage, "x")], ITEMS))
+    assert [r.texto_limpo for r in cleaned(df, found, drop_share=0.9).collect()] == [text.replace(passage, "")]
+
+
+def test_documents_are_read_once_for_several_blocks(spark):
+    items = spark.createDataFrame([(k, " ".join(words(k, 30)), "x") for k in range(3)], ITEMS)
+    docs = spark.createDataFrame([(k, " ".join(words(k, 30)), "y") for k in range(3)], DOCS)
+    found = passages(docs, items, limits=Limits(block_words=20))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 1
+    assert sorted((r.doc, r.item) for r in found.collect()) == [(0, 0), (1, 1), (2, 2)]
