@@ -13,8 +13,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Passes that settle which lines are held up by their minimum; each pass fixes at least one line or ends.
-MINIMUM_PASSES = 4
 #: Hex digits of the permutation hash that make a rank bucket: 4096 buckets a leaf, so no leaf is one task.
 BUCKET_DIGITS = 3
 
@@ -84,14 +82,19 @@ def allocate(rows: DataFrame, plans: DataFrame, names: Names = Names()) -> DataF
     lines = _lines(plans, names).join(capacity, ["grupo", "marca"], "left").withColumn("disponivel", F.coalesce("disponivel", F.lit(0)).cast("bigint"))
     plan = Window.partitionBy("plano_id")
     lines = lines.withColumn("alvo", F.greatest(F.col("minimo").cast("double"), F.col("total") * F.col("parte")))
-    # Lines held at their minimum; what is left of the total is scaled over the others.
-    lines = lines.withColumn("presa", F.col("minimo") > F.col("total") * F.col("parte"))
-    for _ in range(MINIMUM_PASSES):
-        left = F.col("total") - F.sum(F.when(F.col("presa"), F.col("minimo")).otherwise(0)).over(plan)
-        free = F.sum(F.when(F.col("presa"), 0.0).otherwise(F.col("parte"))).over(plan)
-        whole = F.least(F.lit(1.0), F.sum("parte").over(plan))
-        lines = lines.withColumn("justa", F.when(F.col("presa"), F.col("minimo").cast("double")).otherwise(F.when(free > 0, F.greatest(F.lit(0.0), left * F.col("parte") / free * whole)).otherwise(0.0)))
-        lines = lines.withColumn("presa", F.col("presa") | (F.col("minimo") > F.col("justa")))
+    # Lines held at their minimum; what is left of the total is scaled over the others. By falling minimum per share,
+    # a line is held while what those before it leave, shared by it and those after, gives it less than its minimum.
+    need = F.when(F.col("parte") > 0, F.col("minimo") / F.col("parte")).when(F.col("minimo") > 0, F.lit(float("inf"))).otherwise(0.0)
+    falling = plan.orderBy(F.desc("necessidade"), "linha")
+    lines = lines.withColumn("necessidade", need).withColumn("inteiro", F.least(F.lit(1.0), F.sum("parte").over(plan)))
+    left = F.col("total") - F.coalesce(F.sum("minimo").over(falling.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    open_ = F.sum("parte").over(falling.rowsBetween(0, Window.unboundedFollowing))
+    given = F.when(open_ > 0, F.greatest(F.lit(0.0), left * F.col("parte") / open_ * F.col("inteiro"))).otherwise(0.0)
+    lines = lines.withColumn("abaixo", F.col("minimo") > given)
+    lines = lines.withColumn("presa", F.min("abaixo").over(falling.rowsBetween(Window.unboundedPreceding, 0)))
+    rest = F.col("total") - F.sum(F.when(F.col("presa"), F.col("minimo")).otherwise(0)).over(plan)
+    free = F.sum(F.when(F.col("presa"), 0.0).otherwise(F.col("parte"))).over(plan)
+    lines = lines.withColumn("justa", F.when(F.col("presa"), F.col("minimo").cast("double")).when(free > 0, F.greatest(F.lit(0.0), rest * F.col("parte") / free * F.col("inteiro"))).otherwise(0.0))
     lines = lines.withColumn("justa", F.round(F.greatest(F.col("justa"), F.col("minimo").cast("double")), 6))
     missing = F.round(F.sum("justa").over(plan)).cast("bigint") - F.sum(F.floor("justa")).over(plan)
     place = F.row_number().over(plan.orderBy(F.desc(F.col("justa") - F.floor("justa")), "linha"))
