@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES: tuple[str, ...] = ("text", "retrieval", "metrics", "curation", "evaluation")
+_MODULES: tuple[str, ...] = ("text", "retrieval", "metrics", "curation", "evaluation", "assembly")
 
 
 def _each(what: str) -> dict:

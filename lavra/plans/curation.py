@@ -238,6 +238,7 @@ QUERIES = {
     "negative_rule": negative_rule_all, "window_cooccurrence": window_cooccurrence_all, "negative_v5": negative_v5, "rate_limit": rate_limit,
 }
 
+_SLUG_ANY = "regexp_replace(substring(regexp_replace(regexp_replace(" + fold_sql("{0}") + ", '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 60), '_+$', '')"
 _KEY = "regexp_replace(lower({0}), '[^a-z0-9]', '', 'g')"
 _STR = r"regexp_replace(lower(coalesce(estrato, '')), '[\s_]+', '', 'g')"
 _G = "g AS (SELECT DISTINCT ON (id) * FROM perguntas_v05b)"
