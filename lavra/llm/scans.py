@@ -57,11 +57,29 @@ _BESIDE = (r"^\d{1,6}\s*[|·–—-]\s+", r"\s*(?:\.{2,}|…|[|·–—])\s*\d{1
 _SECTION = r"^\d+(\.\d+)+\.?\s+\p{L}"
 
 
+_BLANK = r"[ \t\x0b\f\r\x{feff}]*"
+
+
+def _split(chunks: DataFrame, id: str, document: str, page: str, text: str) -> DataFrame:
+    """(chunk, doc, pagina, texto_id, l): the trimmed lines of every text, blank ones as ''."""
+    # Line ends and the blanks around them are made one sign for the whole text at once.
+    flat = F.regexp_replace(F.translate(F.replace(F.col(text), F.lit("\r\n"), F.lit("\n")), "\r", "\n"), _BLANK + r"\n" + _BLANK, "\n")
+    return chunks.where(F.col(id).isNotNull() & F.col(text).isNotNull()).select(
+        F.col(id).cast("int").alias("chunk"), F.coalesce(F.col(document), F.lit("")).alias("doc"), F.coalesce(F.col(page), F.lit(0)).alias("pagina"), F.xxhash64(text).alias("texto_id"), F.split(F.regexp_replace(flat, rf"^{_BLANK}|{_BLANK}\z", ""), "\n", -1).alias("l"))
+
+
 def lines(chunks: DataFrame, *, id: str = "id", document: str = "doc_id", page: str = "pagina", text: str = "texto") -> DataFrame:
-    """(chunk, doc, pagina, texto_id, pos, total, linha) of every line, trimmed; blank ones are kept as ''."""
-    rows = chunks.where(F.col(id).isNotNull() & F.col(text).isNotNull()).select(
-        F.col(id).cast("int").alias("chunk"), F.coalesce(F.col(document), F.lit("")).alias("doc"), F.coalesce(F.col(page), F.lit(0)).alias("pagina"), F.xxhash64(text).alias("texto_id"), F.split(F.col(text), r"\r\n|\r|\n").alias("l"))
-    return rows.select("chunk", "doc", "pagina", "texto_id", F.size("l").alias("total"), F.posexplode("l").alias("pos", "crua")).withColumn("linha", F.regexp_replace("crua", r"^[\s\x{feff}]+|[\s\x{feff}]+$", "")).drop("crua")
+    """(chunk, doc, pagina, texto_id, pos, linha) of every line, trimmed; blank ones are kept as ''."""
+    return _split(chunks, id, document, page, text).select("chunk", "doc", "pagina", "texto_id", F.posexplode("l").alias("pos", "linha"))
+
+
+def shown_lines(chunks: DataFrame, *, id: str = "id", document: str = "doc_id", page: str = "pagina", text: str = "texto") -> DataFrame:
+    """As :func:`lines` without blank ones, with the line before and after, the place among them and their number; nothing is moved for it."""
+    placed = F.filter(F.transform("l", lambda x, i: F.struct(i.alias("pos"), x.alias("linha"))), lambda s: s["linha"] != "")
+    rows = _split(chunks, id, document, page, text).select("chunk", "doc", "pagina", "texto_id", placed.alias("s")).where(F.size("s") > 0)
+    none, n = F.array(F.lit(None).cast("string")), F.size("s")
+    zipped = F.arrays_zip(F.col("s.pos").alias("pos"), F.col("s.linha").alias("linha"), F.concat(none, F.slice("s.linha", F.lit(1), n - 1)).alias("antes"), F.concat(F.slice("s.linha", F.lit(2), n - 1), none).alias("depois"))
+    return rows.select("chunk", "doc", "pagina", "texto_id", n.alias("linhas"), F.posexplode(zipped).alias("ordem", "z")).select("chunk", "doc", "pagina", "texto_id", "linhas", "ordem", "z.pos", "z.linha", "z.antes", "z.depois")
 
 
 def page_number(line: Column) -> Column:
@@ -105,33 +123,58 @@ def line_features(line: str, key: str, pos: int, total: int, before: str, after:
     return found
 
 
-_CANDIDATE = r"[.,;!?]$|FIGURA:|^[-•*]\s"
+# How a line that is no running line ends, begins, and what a figure's text holds.
+_ENDS, _BEGINS, _FIGURE = (".", ",", ";", "!", "?"), r"^[-•*]\s", "FIGURA:"
 
 
-def _described(split: DataFrame, settings: Settings) -> DataFrame:
-    """Lines with page numbers, neighbours and recurrence; one row per line that is not blank."""
-    shown = split.where("linha <> ''").withColumn("numero", page_number(F.col("linha")))
-    near = Window.partitionBy("chunk").orderBy("pos")
-    shown = shown.withColumn("antes", F.lag("linha").over(near)).withColumn("depois", F.lead("linha").over(near)).withColumn("ordem", F.row_number().over(near) - 1).withColumn("linhas", F.count("*").over(Window.partitionBy("chunk")))
-    words = F.size(F.split("linha", r"\s+"))
+def _candidates(shown: DataFrame) -> DataFrame:
+    """Lines with their page number, and whether they may be a running line, which has a key."""
     letters = F.length(F.regexp_replace("linha", r"\P{L}", ""))
-    candidate = F.col("numero").isNull() & (letters >= 3) & (words <= 10) & (F.length("linha") <= 90) & ~F.col("linha").rlike(_CANDIDATE) & ~F.col("linha").rlike(_SECTION)
-    shown = shown.withColumn("candidata", candidate).withColumn("chave", F.when(candidate, line_key(F.col("linha"))))
-    # Equal texts under several ids are one text.
-    times = shown.where("candidata").select("doc", "chave", "texto_id").distinct().groupBy("doc", "chave").agg(F.count("*").cast("int").alias("vezes"))
-    texts = split.select("doc", "texto_id").distinct().groupBy("doc").agg(F.count("*").cast("int").alias("textos"))
+    # What costs least is asked first.
+    line = F.col("linha")
+    candidate = (F.length(line) <= 90) & ~F.right(line, F.lit(1)).isin(*_ENDS) & ~line.contains(_FIGURE) & ~line.rlike(_BEGINS) & ~line.rlike(_SECTION) & (F.size(F.split(line, r"\s+")) <= 10) & (letters >= 3)
+    shown = shown.withColumn("numero", page_number(F.col("linha")))
+    return shown.withColumn("candidata", F.col("numero").isNull() & candidate).withColumn("chave", F.when(F.col("candidata"), line_key(F.col("linha"))))
+
+
+#: Rows up to which statistics of documents and running lines are broadcast.
+_BROADCAST_ROWS = 1_000_000
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """``df``, stored, as a broadcast side if it has few rows; beyond, as it is."""
+    return F.broadcast(df) if df.count() <= _BROADCAST_ROWS else df
+
+
+@dataclass
+class Recurrence:
+    """How often running lines and page offsets recur: per document and key, and per document."""
+
+    keys: DataFrame
+    documents: DataFrame
+
+
+def recurrence(chunks: DataFrame, marked: DataFrame, settings: Settings, keep) -> Recurrence:
+    """Texts that hold a line's key (those of one text are left out), texts of a document, and its usual page offset. Equal texts under several ids are one text."""
+    times = marked.where("candidata").select("doc", "chave", "texto_id").distinct().groupBy("doc", "chave").agg(F.count("*").cast("int").alias("vezes")).where("vezes > 1")
+    texts = chunks.groupBy("doc").agg(F.count_distinct("texto_id").cast("int").alias("textos"))
     off = F.col("numero") - F.col("pagina")
-    offsets = shown.where(F.abs(off) <= settings.near_page).groupBy("doc", off.alias("desvio")).agg(F.count("*").alias("n")).groupBy("doc").agg(F.max_by("desvio", F.struct("n", -F.abs("desvio"))).alias("desvio"))
-    return shown.join(times, ["doc", "chave"], "left").join(texts, "doc", "left").join(offsets, "doc", "left")
+    offsets = marked.where(F.abs(off) <= settings.near_page).groupBy("doc", off.alias("desvio")).agg(F.count("*").alias("n")).groupBy("doc").agg(F.max_by("desvio", F.struct("n", -F.abs("desvio"))).alias("desvio"))
+    return Recurrence(_small(keep(times)), _small(keep(texts.join(offsets, "doc", "left"))))
+
+
+def described(marked: DataFrame, found: Recurrence) -> DataFrame:
+    """Lines with the recurrence of their key and the statistics of their document."""
+    return marked.join(found.keys, ["doc", "chave"], "left").join(found.documents, "doc", "left").withColumn("vezes", F.when(F.col("candidata"), F.coalesce("vezes", F.lit(1))))
 
 
-def train_lines(described: DataFrame, settings: Settings = Settings()) -> Perceptron:
+def train_lines(described_: DataFrame, settings: Settings = Settings()) -> Perceptron:
     """A perceptron from lines that recur in their document against lines that stand once inside sentences."""
     many = (F.col("vezes") >= settings.recurs) & (F.col("vezes") >= F.col("textos") * settings.rate)
     once = (F.col("vezes") <= 1) & (F.col("linhas") > 1)
     label = F.when(many, "cabecalho").when(once, "corpo")
     place = F.row_number().over(Window.partitionBy("rotulo").orderBy(F.xxhash64("chunk", "pos")))
-    rows = described.where("candidata").withColumn("rotulo", label).where(F.col("rotulo").isNotNull()).withColumn("posto", place).where(F.col("posto") <= settings.lines // 2)
+    rows = described_.where("candidata").withColumn("rotulo", label).where(F.col("rotulo").isNotNull()).withColumn("posto", place).where(F.col("posto") <= settings.lines // 2)
     sample = rows.select("linha", "chave", "ordem", "linhas", "antes", "depois", "vezes", "textos", "rotulo").collect()
     examples = [(line_features(r.linha, r.chave, r.ordem, r.linhas, r.antes or "", r.depois or "", r.vezes, r.textos), r.rotulo) for r in sorted(sample, key=tuple_key)]
     # By shape and place alone, some of the lines seen once are headers: they teach nothing as body lines.
@@ -148,9 +191,9 @@ def tuple_key(row) -> tuple:
     return tuple("" if v is None else str(v) for v in row)
 
 
-def classified(described: DataFrame, model: Perceptron, settings: Settings = Settings()) -> DataFrame:
+def classified(described_: DataFrame, model: Perceptron, settings: Settings = Settings()) -> DataFrame:
     """(chunk, doc, texto_id, pos, linha, classe): ``pagina``, ``cabecalho`` or ``corpo``."""
-    carried = described.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
+    carried = described_.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
 
     @F.pandas_udf("boolean")
     def is_header(line: pd.Series, key: pd.Series, pos: pd.Series, total: pd.Series, before: pd.Series, after: pd.Series, times: pd.Series, texts: pd.Series) -> pd.Series:
@@ -168,32 +211,37 @@ def classified(described: DataFrame, model: Perceptron, settings: Settings = Set
     page = F.col("numero").isNotNull() & (~bare | (F.abs(off) <= F.when(F.col("desvio").isNull(), settings.near_page).otherwise(2)))
     header = is_header("linha", "chave", "ordem", "linhas", "antes", "depois", F.coalesce("vezes", F.lit(0)), F.coalesce("textos", F.lit(1)))
     # The model is asked for candidate lines only.
-    asked = described.where("candidata").withColumn("classe", F.when(header, "cabecalho").otherwise("corpo"))
-    rest = described.where("NOT candidata").withColumn("classe", F.when(page, "pagina").otherwise("corpo"))
+    asked = described_.where("candidata").withColumn("classe", F.when(header, "cabecalho").otherwise("corpo"))
+    rest = described_.where("NOT candidata").withColumn("classe", F.when(page, "pagina").otherwise("corpo"))
     keep = ["chunk", "doc", "texto_id", "pos", "linha", "classe"]
     return asked.select(*keep).unionByName(rest.select(*keep))
 
 
-def running_text(lines_: DataFrame) -> DataFrame:
-    """(chunk, corpo): the body lines of every chunk, split words marked by :data:`JOIN`."""
-    body = lines_.where("classe = 'corpo'").groupBy("chunk").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "linha"))), lambda s: s["linha"]), "\n").alias("corpo"))
-    return body.withColumn("corpo", F.regexp_replace("corpo", r"(?<=\p{L})[-\x{2010}\x{2011}\x{00ac}\x{00ad}]\n(?=\p{Ll})", JOIN))
+def running_text(chunks: DataFrame, furniture: DataFrame, *, id: str = "id", document: str = "doc_id", page: str = "pagina", text: str = "texto") -> DataFrame:
+    """(chunk, corpo): every text without blank lines and furniture, split words marked by :data:`JOIN`; texts lie by chunk afterwards."""
+    taken = furniture.groupBy("chunk").agg(F.collect_set("pos").alias("fora"))
+    rows = _split(chunks, id, document, page, text).select("chunk", "l").join(taken, "chunk", "left")
+    body = F.filter("l", lambda x, i: (x != "") & ~F.coalesce(F.array_contains("fora", i), F.lit(False)))
+    joined = rows.select("chunk", F.array_join(body, "\n").alias("corpo")).where("corpo <> ''")
+    return joined.withColumn("corpo", F.regexp_replace("corpo", r"(?<=\p{L})[-\x{2010}\x{2011}\x{00ac}\x{00ad}]\n(?=\p{Ll})", JOIN))
 
 
 _OUTER = r"^[^\p{L}\p{N}@|" + JOIN + r"]+|[^\p{L}\p{N}@|~´`^¨" + JOIN + r"]+$"
 
 
 def words(text: DataFrame) -> DataFrame:
-    """(chunk, palavra, nome) of every word of the running text; ``nome`` where it has a capital inside a sentence."""
+    """(chunk, palavra, vezes, nomes) of every different word of the running text; ``nomes`` counts where it has a capital inside a sentence."""
     tokens = text.select("chunk", F.split("corpo", r"\s+").alias("t")).select("chunk", F.posexplode(F.arrays_zip(F.col("t").alias("atual"), F.concat(F.array(F.lit(".")), F.slice("t", 1, F.greatest(F.size("t") - 1, F.lit(1)))).alias("anterior"))).alias("n", "par"))
     word = F.regexp_replace(F.col("par.atual"), _OUTER, "")
     mid = ~F.coalesce(F.col("par.anterior"), F.lit(".")).rlike(r"[.!?:|]$")
-    return tokens.select("chunk", F.lower(word).alias("palavra"), (mid & word.rlike(r"^\p{Lu}")).alias("nome")).where(F.length("palavra") > 1)
+    said = tokens.select("chunk", F.lower(word).alias("palavra"), (mid & word.rlike(r"^\p{Lu}")).alias("nome")).where(F.length("palavra") > 1)
+    # The running text lies by chunk already, so nothing is moved here.
+    return said.groupBy("chunk", "palavra").agg(F.count("*").alias("vezes"), F.count_if("nome").alias("nomes"))
 
 
 def counts(words_: DataFrame) -> DataFrame:
     """(palavra, n, nome) of every distinct word: chunks that hold it, share of capitals inside sentences."""
-    return words_.groupBy("palavra").agg(F.count_distinct("chunk").alias("n"), F.avg(F.col("nome").cast("double")).alias("nome"))
+    return words_.groupBy("palavra").agg(F.count("*").alias("n"), (F.sum("nomes") / F.sum("vezes")).alias("nome"))
 
 
 def char_features(word: str, at: int) -> list[str]:
@@ -362,7 +410,7 @@ def corrections(counts_: DataFrame, editor: Perceptron, settings: Settings = Set
 
 @dataclass
 class Repair:
-    """What was found in a table of chunks."""
+    """What was found in a table of chunks; ``lines`` are those that are furniture."""
 
     lines: DataFrame
     text: DataFrame
@@ -377,18 +425,21 @@ def repair(chunks: DataFrame, settings: Settings = Settings(), keep=lambda df: d
     count once where lines recur. A null document is one document of its own, a
     null page page 0. ``keep`` stores an intermediate result that is used often.
     """
-    described = keep(_described(lines(chunks), settings))
-    kinds = keep(classified(described, train_lines(described, settings), settings))
-    text = running_text(kinds)
+    # Only lines that may be furniture are stored; what is not found among them is body text.
+    special = keep(_candidates(shown_lines(chunks)).where("candidata OR numero IS NOT NULL"))
+    texts = chunks.where("id IS NOT NULL AND texto IS NOT NULL").select(F.coalesce("doc_id", F.lit("")).alias("doc"), F.xxhash64("texto").alias("texto_id"))
+    told = described(special, recurrence(texts, special, settings, keep))
+    furniture = keep(classified(told, train_lines(told, settings), settings).where("classe <> 'corpo'"))
+    text = running_text(chunks, furniture)
     said = keep(words(text))
     number = keep(counts(said))
-    return Repair(kinds, text, said, keep(corrections(number, train_editor(number, settings), settings)))
+    return Repair(furniture, text, said, keep(corrections(number, train_editor(number, settings), settings)))
 
 
 def noise(found: Repair) -> DataFrame:
     """(chunk_id, ruido, trecho): the distinct pieces of noise of every chunk."""
-    furniture = found.lines.where("classe <> 'corpo'").select(F.col("chunk").alias("chunk_id"), F.col("classe").alias("ruido"), F.col("linha").alias("trecho"))
-    hit = found.words.select("chunk", "palavra").distinct().join(found.corrections, "palavra")
+    furniture = found.lines.select(F.col("chunk").alias("chunk_id"), F.col("classe").alias("ruido"), F.col("linha").alias("trecho"))
+    hit = found.words.select("chunk", "palavra").join(found.corrections, "palavra")
     split = hit.where("juntada").select(F.col("chunk").alias("chunk_id"), F.lit("hifen").alias("ruido"), F.col("certa").alias("trecho"))
     misread = hit.where("lida_errada").select(F.col("chunk").alias("chunk_id"), F.lit("caractere").alias("ruido"), F.col("certa").alias("trecho"))
     return furniture.unionByName(split).unionByName(misread).distinct()
