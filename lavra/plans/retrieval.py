@@ -55,7 +55,7 @@ def _questions(spark, d):
 
 
 def _pool(spark, d, size):
-    return R.ranked(R.bm25(_questions(spark, d), table(spark, d, "chunks")), size)
+    return R.bm25_best(_questions(spark, d), table(spark, d, "chunks"), size)
 
 
 def bm25_idf(spark, d):
