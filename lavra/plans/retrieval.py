@@ -72,9 +72,9 @@ def bm25_topk(spark, d):
 
 def near_dup_greedy(spark, d):
     """The first five of the 60 best chunks of every question that repeat none before them."""
-    chunks = table(spark, d, "chunks").select("id", F.col("doc_id").alias("doc"), "pagina", tokens(F.col("texto")).alias("t"))
-    kept = R.greedy_unique(_pool(spark, d, 60).select("q", "id", "posto").join(chunks, "id"))
-    return kept.where("posto <= 5").select(F.col("q").alias("pergunta_id"), F.col("id").alias("chunk_id"), "posto")
+    chunks = table(spark, d, "chunks").select("id", F.col("doc_id").alias("doc"), "pagina", F.col("texto").alias("t"))
+    kept = R.greedy_unique_of(_pool(spark, d, 60).select("q", "id", "posto"), chunks, 5)
+    return kept.select(F.col("q").alias("pergunta_id"), F.col("id").alias("chunk_id"), "posto")
 
 
 def context_format(spark, d):
