@@ -84,7 +84,7 @@ def integrity_checks(spark, d):
 def reachable_questions(spark, d):
     """Questions by stratum and whether an expected document is among the 60 best chunks; without expected ones they are."""
     q = _questions(spark, d).select("id", "pergunta", _stratum().alias("estrato"), "docs_esperados")
-    best = R.ranked(R.bm25(q, table(spark, d, "chunks")), 60).select(F.col("q"), "id").join(table(spark, d, "chunks").select("id", F.col("doc_id").alias("doc")), "id").select("q", "doc")
+    best = R.bm25_best(q, table(spark, d, "chunks"), 60).select(F.col("q"), "id").join(table(spark, d, "chunks").select("id", F.col("doc_id").alias("doc")), "id").select("q", "doc")
     wanted = q.select(F.col("id").alias("q"), F.explode("docs_esperados").alias("doc"))
     hit = wanted.join(best, ["q", "doc"], "left_semi").select("q").distinct().withColumn("ha", F.lit(True))
     rows = q.join(hit, q.id == hit.q, "left")
