@@ -95,8 +95,11 @@ def page_yardstick(spark, d):
     the page's share among the questions whose document was found.
     """
     q = _questions(spark, d).select(F.col("id").alias("q"), _stratum().alias("estrato"), F.coalesce("docs_esperados", F.array().cast("array<string>")).alias("docs"), F.trim(F.left(X.scan_key(F.col("_auditoria.resposta_esperada")), F.lit(200))).alias("ancora"))
-    best = _pool(spark, d, 5).join(table(spark, d, "chunks").select("id", "doc_id", X.scan_key(F.col("texto")).alias("t")), "id").select("q", "doc_id", "t")
-    hits = q.join(best, "q", "left").groupBy("q", "estrato").agg(F.coalesce(F.max(F.array_contains("docs", F.col("doc_id"))), F.lit(False)).alias("doc"), F.max(F.when(F.length("ancora") >= 30, F.coalesce(F.col("t").contains(F.col("ancora")), F.lit(False)))).alias("pagina"))
+    # Only the best chunks' texts are folded, where they meet their question.
+    best = q.join(_pool(spark, d, 5).select("q", "id"), "q").join(table(spark, d, "chunks").select("id", "doc_id", "texto"), "id")
+    held = best.select("q", F.array_contains("docs", F.col("doc_id")).alias("certo"), F.when(F.length("ancora") >= 30, F.coalesce(X.scan_key(F.col("texto")).contains(F.col("ancora")), F.lit(False))).alias("ha"))
+    hits = q.select("q", "estrato", (F.length("ancora") >= 30).alias("tem")).join(held.groupBy("q").agg(F.max("certo").alias("certo"), F.max("ha").alias("ha")), "q", "left")
+    hits = hits.select("estrato", F.coalesce("certo", F.lit(False)).alias("doc"), F.when(F.col("tem"), F.coalesce("ha", F.lit(False))).alias("pagina"))
     has = F.col("pagina").isNotNull()
     return hits.rollup("estrato").agg(F.count("*").alias("n"), F.count_if("doc").alias("doc"), F.count_if(has).alias("com_ancora"), F.count_if(F.coalesce("pagina", F.lit(False))).alias("pagina"), F.round(F.count_if(F.col("doc") & F.coalesce("pagina", F.lit(False))) / F.nullif(F.count_if(F.col("doc") & has), F.lit(0)), 3).alias("pagina_dado_doc"))
 
