@@ -120,9 +120,7 @@ def keyword_context(spark, d):
     q = _questions(spark, d).where("pergunta IS NOT NULL").select(F.col("id").alias("q"), F.array_distinct(words).alias("w"))
     chunks = table(spark, d, "chunks").where("texto IS NOT NULL").select("id", F.lower("texto").alias("t"))
     asked = q.select(F.explode("w").alias("w")).distinct()
-    # The distinct words of the questions, a stated set, against all texts; every partition hands on the first five of a word.
-    first = Window.partitionBy("w").orderBy("id")
-    held = chunks.join(F.broadcast(asked), F.expr("contains(t, w)")).select("w", "id").withColumn("n", F.row_number().over(first)).where("n <= 5")
+    held = R.first_holding(chunks, asked, 5)
     hit = q.select("q", F.explode("w").alias("w")).join(held, "w").groupBy("q").agg(F.slice(F.array_sort(F.collect_set("id")), 1, 5).alias("ids"))
     start = chunks.orderBy("id").limit(5).agg(F.array_sort(F.collect_list("id")).alias("inicio"))
     return q.select("q").join(hit, "q", "left").join(F.broadcast(start)).select(F.col("q").alias("pergunta_id"), F.array_join(F.coalesce("ids", "inicio").cast("array<string>"), ",").alias("chunks"))
