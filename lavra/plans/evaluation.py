@@ -190,8 +190,10 @@ def stored_results(spark, d):
 def grounding_hint(spark, d):
     """Questions by stratum and whether a word of the expected answer of more than four letters stands in their five best chunks."""
     q = _questions(spark, d).select(F.col("id").alias("q"), _stratum().alias("estrato"), F.filter(F.array_distinct(X.tokens(F.col("_auditoria.resposta_esperada"))), lambda w: F.length(w) > 4).alias("w")).where("w IS NOT NULL")
-    best = _pool(spark, d, 5).join(table(spark, d, "chunks").select("id", X.tokens(F.col("texto")).alias("t")), "id").select("q", "t")
-    hit = q.join(best, "q", "left").groupBy("q", "estrato").agg(F.coalesce(F.max(F.arrays_overlap("w", "t")), F.lit(False)).alias("fundada"))
+    # Only the best chunks' texts are cut into words, where they meet their question.
+    best = q.select("q", "w").join(_pool(spark, d, 5).select("q", "id"), "q").join(table(spark, d, "chunks").select("id", "texto"), "id")
+    found = best.groupBy("q").agg(F.max(F.arrays_overlap("w", X.tokens(F.col("texto")))).alias("ha"))
+    hit = q.select("q", "estrato").join(found, "q", "left").select("estrato", F.coalesce("ha", F.lit(False)).alias("fundada"))
     return hit.groupBy("estrato", "fundada").agg(F.count("*").alias("perguntas"))
 
 
