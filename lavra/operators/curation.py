@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
+from collections import defaultdict
+from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,3 +61,62 @@ def split(id: Column, held_out: float, seed: int = 42) -> Column:
     """``teste`` for about ``held_out`` of the ids, else ``treino``; the same id always falls on the same side."""
     bucket = F.conv(F.substring(order_key(id, seed), 1, 6), 16, 10).cast("long")
     return F.when(bucket < math.floor(held_out * 16**6), "teste").otherwise("treino")
+
+
+def by_document(texts: DataFrame, wanted: DataFrame, count: Callable[[list[str], list[str]], dict[str, list[int]]], schema: str, rows: int = 50_000) -> DataFrame:
+    """``count`` of the texts (doc, t) and of what is wanted in them (doc, and one text column), document by document.
+
+    A document's texts are spread over one part for every ``rows`` texts in all, and
+    what is wanted of it goes to each part, so the results are to be added up.
+    Texts are moved once; pairs of text and wanted are never rows. A null document
+    holds no texts.
+    """
+    parts = max(1, math.ceil(texts.count() / rows))
+    name = wanted.columns[1]
+    left = texts.where("doc IS NOT NULL").withColumn("parte", F.pmod(F.xxhash64("t"), F.lit(parts)).cast("int"))
+    right = wanted.withColumn("parte", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+
+    def run(held: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        counts = count(held["t"].tolist(), asked[name].tolist())
+        return pd.DataFrame({"doc": asked["doc"], name: asked[name], **counts})
+
+    return left.groupBy("doc", "parte").cogroup(right.groupBy("doc", "parte")).applyInPandas(run, schema)
+
+
+def count_runs(texts: list[str], wanted: list[str]) -> dict[str, list[int]]:
+    """How often each run of words stands in the texts; words are two spaces apart."""
+    n, starting = [0] * len(wanted), defaultdict(list)
+    for place, run in enumerate(wanted):
+        starting[run.split(" ", 1)[0]].append((place, f" {run} "))
+    for text in texts:
+        # Only runs whose first word the text holds are sought in it.
+        for word in starting.keys() & set(text.split()):
+            for place, run in starting[word]:
+                n[place] += f" {text} ".count(run)
+    return {"n": n}
+
+
+def count_windows(texts: list[str], wanted: list[str], width: int = 14) -> dict[str, list[int]]:
+    """For every group of distinct words: the texts that hold any of them, and those that hold all within ``width`` words."""
+    groups, holding = [x.split(" ") for x in wanted], defaultdict(list)
+    for place, group in enumerate(groups):
+        for word in group:
+            holding[word].append(place)
+    some, whole = [0] * len(groups), [0] * len(groups)
+    for text in texts:
+        at, found = defaultdict(list), defaultdict(int)
+        for place, word in enumerate(text.split(" ")):
+            if word in holding:
+                at[word].append(place)
+        for word in at:
+            for group in holding[word]:
+                found[group] += 1
+        for group, words in found.items():
+            some[group] += 1
+            whole[group] += words == len(groups[group]) and _within([at[w] for w in groups[group]], width)
+    return {"chunks": some, "presentes": whole}
+
+
+def _within(places: list[list[int]], width: int) -> bool:
+    """Whether some place has one of every list at it or within ``width`` after it."""
+    return any(all((k := bisect_left(other, first)) < len(other) and other[k] <= first + width for other in places) for each in places for first in each)

@@ -200,14 +200,9 @@ def window_cooccurrence_all(spark, d):
     """For every title of two lemmas or more of every document: its chunks with any of the lemmas, and with all within 14 words, in any order."""
     t = table(spark, d, "chunks")
     titles = t.where("titulo IS NOT NULL").select(F.col("doc_id").alias("doc"), _content(F.col("titulo")).alias("l")).where(F.size("l") >= 2).distinct()
-    titles = titles.select("doc", F.array_join("l", " ").alias("lemas"), "l")
-    words = t.where("texto IS NOT NULL").select("id", F.col("doc_id").alias("doc"), F.posexplode(X.lemmas(F.col("texto"))).alias("pos", "w"))
-    hits = words.join(titles.select("doc", "lemas", F.size("l").alias("n"), F.explode("l").alias("w")), ["doc", "w"])
-    near = Window.partitionBy("doc", "id", "lemas").orderBy("pos").rangeBetween(0, 14)
-    full = hits.withColumn("junto", F.size(F.collect_set("w").over(near)) == F.col("n")).groupBy("doc", "lemas", "id").agg(F.max("junto").alias("presente"))
-    counted = full.groupBy("doc", "lemas").agg(F.count("*").alias("chunks"), F.count_if("presente").alias("presentes"))
-    rows = titles.select("doc", "lemas").join(counted, ["doc", "lemas"], "left")
-    return rows.select(F.col("doc").alias("doc_id"), "lemas", F.coalesce("chunks", F.lit(0)).alias("chunks"), F.coalesce("presentes", F.lit(0)).alias("presentes"))
+    texts = t.where("texto IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").alias("doc"), F.array_join(X.lemmas(F.col("texto")), " ").alias("t"))
+    counted = C.by_document(texts, titles.select("doc", F.array_join("l", " ").alias("lemas")), C.count_windows, "doc string, lemas string, chunks bigint, presentes bigint")
+    return counted.groupBy(F.col("doc").alias("doc_id"), "lemas").agg(F.sum("chunks").alias("chunks"), F.sum("presentes").alias("presentes"))
 
 
 # Requests ---------------------------------------------------------------------------

@@ -57,3 +57,17 @@ def test_every_title_is_windowed(spark, tmp_path):
             want[doc, " ".join(title)] = (len(some), sum(any(set(title) <= set(x[k : k + 15]) for k in range(len(x))) for x in some))
     got = {(r.doc_id, r.lemas): (r.chunks, r.presentes) for r in P.window_cooccurrence_all(spark, str(tmp_path)).collect()}
     assert got == want and max(len(s) for s in titles.values()) > 1
+
+
+def test_titles_meet_texts_without_rows_of_pairs(spark, tmp_path):
+    from lavra.operators import curation as C
+
+    # One document has most texts, others have no text or no title; parts of any size must give the same.
+    rows = [("d0", f"alfa {'x ' * (k % 20)}beta") for k in range(60)] + [("d1", "beta"), ("d3", "alfa"), (None, "alfa beta")]
+    texts, titles = spark.createDataFrame(rows, "doc string, t string"), spark.createDataFrame([("d0", "alfa beta"), ("d1", "alfa beta"), ("d2", "alfa beta"), (None, "alfa beta")], "doc string, lemas string")
+    for size in (7, 1000):
+        found = C.by_document(texts, titles, C.count_windows, "doc string, lemas string, chunks bigint, presentes bigint", rows=size).groupBy("doc").sum("chunks", "presentes")
+        assert {tuple(r) for r in found.collect()} == {("d0", 60, 42), ("d1", 1, 0), ("d2", 0, 0), (None, 0, 0)}
+    tables(spark, tmp_path)
+    plan = P.window_cooccurrence_all(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan
