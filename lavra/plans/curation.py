@@ -10,7 +10,7 @@ from lavra.operators import curation as C
 from lavra.operators import retrieval as R
 from lavra.plans.retrieval import _LEX
 from lavra.plans.text import fold_sql
-from lavra.sources.tables import small, table
+from lavra.sources.tables import table
 from lavra.streaming.limiter import limit
 
 
@@ -142,15 +142,7 @@ def _counted(spark, d, wanted):
     """(doc, alvo, n): how often the words of ``wanted`` (doc, alvo) stand in a row in the chunks of the document."""
     plain = F.trim(F.regexp_replace(X.scan_key(F.col("texto")), _PLAIN, "  "))
     chunks = table(spark, d, "chunks").where("texto IS NOT NULL").select(F.col("doc_id").alias("doc"), plain.alias("t")).join(wanted.select("doc").distinct(), "doc", "left_semi")
-    texts = chunks.groupBy("doc", "t").agg(F.count("*").alias("copias")).withColumn("chave", F.xxhash64("t"))
-    first = wanted.select(F.split("alvo", " +")[0].alias("w")).distinct()
-    sizes = wanted.agg(F.array_sort(F.collect_set(F.size(F.split("alvo", " +")))).alias("tamanhos"))
-    # Only word runs that begin like a wanted one, and are as long as one, meet the wanted ones, on all their words.
-    words = texts.select("doc", "chave", F.split("t", " +").alias("p")).select("doc", "chave", "p", F.posexplode("p").alias("i", "w")).join(small(first), "w", "left_semi")
-    runs = words.join(F.broadcast(sizes)).select("doc", "chave", F.explode(F.transform("tamanhos", lambda m: F.array_join(F.slice("p", F.col("i") + 1, m), "  "))).alias("alvo")).distinct()
-    t, target = F.concat(F.lit(" "), F.col("t"), F.lit(" ")), F.concat(F.lit(" "), F.col("alvo"), F.lit(" "))
-    hits = runs.join(wanted, ["doc", "alvo"], "left_semi").join(texts, ["doc", "chave"])
-    return hits.groupBy("doc", "alvo").agg(F.sum(F.col("copias") * ((F.length(t) - F.length(F.replace(t, target, F.lit("")))) / F.length(target)).cast("bigint")).alias("n"))
+    return C.by_document(chunks, wanted.select("doc", "alvo"), C.count_runs, "doc string, alvo string, n bigint").groupBy("doc", "alvo").agg(F.sum("n").alias("n")).where("n > 0")
 
 
 def _rules(by_question):
