@@ -71,3 +71,9 @@ def test_titles_meet_texts_without_rows_of_pairs(spark, tmp_path):
     tables(spark, tmp_path)
     plan = P.window_cooccurrence_all(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Window" not in plan
+
+
+def test_runs_are_counted_without_unfolding():
+    from lavra.operators.curation import count_runs
+
+    assert count_runs(["zeta  zeta  zeta", "a  zeta  b", "zetas", ""], ["zeta", "zeta  zeta", "a  zeta", "b  zeta"]) == {"n": [4, 1, 1, 0]}
