@@ -107,10 +107,10 @@ def pool_sweep(spark, d):
     """Recall by the size of the pool."""
     docs = table(spark, d, "chunks").select("id", F.col("doc_id").alias("doc"))
     hits = _pool(spark, d, 60).select("q", "id", "posto").join(docs, "id")
-    # Every hit counts for each pool that reaches it; the scores are made once.
-    pools = hits.select("q", "doc", "posto", F.explode(F.array(*[F.lit(n) for n in (5, 10, 30, 60)])).alias("pool")).where("posto <= pool")
     wanted = _questions(spark, d).where(F.size("docs_esperados") > 0).select(F.col("id").alias("q"), F.size(F.array_distinct("docs_esperados")).alias("n"), F.explode(F.array_distinct("docs_esperados")).alias("doc"))
-    found = pools.join(wanted, ["q", "doc"]).groupBy("pool", "q", "n").agg(F.countDistinct("doc").alias("achados"))
+    # A document counts for each pool that reaches its first hit.
+    first = hits.join(wanted, ["q", "doc"]).groupBy("q", "n", "doc").agg(F.min("posto").alias("posto"))
+    found = first.select("q", "n", F.explode(F.array(*[F.lit(n) for n in (5, 10, 30, 60)])).alias("pool"), "posto").where("posto <= pool").groupBy("pool", "q", "n").agg(F.count("*").alias("achados"))
     total = wanted.select("q").distinct().agg(F.count("*").alias("perguntas"))
     return found.groupBy("pool").agg(F.sum(F.col("achados") / F.col("n")).alias("soma")).join(F.broadcast(total)).select("pool", F.round(F.col("soma") / F.col("perguntas"), 6).alias("recall"))
 
